@@ -87,7 +87,7 @@ def without_articles(token_array: Column) -> Column:
 
 def is_bare_kinship(name: Column) -> Column:
     core = without_articles(tokens(name))
-    return (F.size(core) == 1) & F.element_at(core, 1).isin(*L.KINSHIP)
+    return (F.size(core) == 1) & F.coalesce(F.get(core, F.lit(0)).isin(*L.KINSHIP), F.lit(False))
 
 
 def is_capitalized(word: Column) -> Column:
@@ -114,7 +114,7 @@ def is_name_word(word: Column) -> Column:
 
 def names_institution(name: Column) -> Column:
     core = drop_leading(tokens(name))
-    return (F.size(core) >= 2) & F.coalesce(F.element_at(F.slice(core, 1, 1), 1).isin(*L.INSTITUTIONS), F.lit(False))
+    return (F.size(core) >= 2) & F.coalesce(F.get(core, F.lit(0)).isin(*L.INSTITUTIONS), F.lit(False))
 
 
 def is_hallucination(text: Column) -> Column:

@@ -293,7 +293,7 @@ def evidence_quality(facts: DataFrame) -> DataFrame:
 
 
 def marks_quality(marks: DataFrame) -> DataFrame:
-    return marks.groupBy("kind").pivot("status", ["kept", "refused"]).agg(F.count("*")).fillna(0)
+    return marks.groupBy("kind").pivot("status", ["kept", "refused"]).agg(F.count(F.lit(1))).fillna(0)
 
 
 def rejection_quality(rejections: DataFrame) -> DataFrame:

@@ -85,8 +85,8 @@ def boundary_pauses(pauses: DataFrame, segments: DataFrame, slot_seconds: int =
     timed = F.size(F.coalesce("words", F.array())) > 0
     s = segments.select(
         "recording_id", "idx",
-        F.when(timed, F.element_at("words", 1)["start"]).otherwise(F.col("start")).alias("opens"),
-        F.when(timed, F.element_at("words", -1)["end"]).otherwise(F.col("end")).alias("closes"),
+        F.when(timed, F.get("words", F.lit(0))["start"]).otherwise(F.col("start")).alias("opens"),
+        F.when(timed, F.try_element_at("words", F.lit(-1))["end"]).otherwise(F.col("end")).alias("closes"),
     )
     b = neighbours(s, REC, "idx", {"next_opens": (F.col("opens"), 1)}, block).where(F.col("next_opens").isNotNull())
     b = b.select("recording_id", F.col("idx").alias("after"), F.least("closes", "next_opens").alias("b_from"),

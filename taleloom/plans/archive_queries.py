@@ -129,7 +129,7 @@ def shared(s, d):
 
 EDGES = ", e as (select distinct archive_id, story_id, entity_id from o_facts where entity_id is not null), ann as (select story_id from o_stories where annotated)"
 RELATED = EDGES + """, rel as (select a.archive_id, a.story_id, b.story_id as other_id, count(*) as n, row_number() over (partition by a.story_id order by count(*) desc, b.story_id) as rank
-  from e a join e b on a.archive_id = b.archive_id and a.entity_id = b.entity_id and a.story_id <> b.story_id where b.story_id in (from ann) group by all qualify rank <= 3)"""
+  from e a join e b on a.archive_id = b.archive_id and a.entity_id = b.entity_id and a.story_id <> b.story_id where b.story_id in (from ann) group by 1, 2, 3 qualify rank <= 3)"""
 
 
 def focus(s, d):
@@ -174,7 +174,7 @@ def detail(s, d):
     f = sto.select("archive_id", "story_id", "recording_id", (F.col("story_id") % 20).alias("entity_id"), F.col("story_id").alias("fact_id"), (F.col("seg_start") + 1).cast("int").alias("seg"),
                    "start", F.lit("said").alias("provenance"), F.col("title").alias("evidence"))
     e = V.table(s, d, "documents").select(F.col("lang").alias("archive_id")).distinct().select(
-        "archive_id", F.explode(F.sequence(F.lit(0), F.lit(19))).cast("bigint").alias("entity_id"), F.lit("person").alias("kind")).withColumn("name", F.concat(F.lit("Person "), F.col("entity_id").cast("string")))
+        "archive_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(19).cast("bigint"))).alias("entity_id"), F.lit("person").alias("kind")).withColumn("name", F.concat(F.lit("Person "), F.col("entity_id").cast("string")))
     x = A.entity_detail(e, f, sto, seg)
     return x.select("entity_id", "story_id", "name", F.md5("sentence").alias("sentence_md5"), F.round("cue", 3).alias("cue"))
 
@@ -188,7 +188,7 @@ def word_overlap(s, d):
 
 def stats(s, d):
     x = A.archive_stats(V.order_stories(s, d), V.order_recordings(s, d))
-    return x.select("archive_id", "stories", F.round("story_seconds", 3).alias("story_seconds"), secs("first_recorded_at").alias("first_s"), F.round("recorded_seconds", 3).alias("recorded_seconds"))
+    return x.select("archive_id", "stories", F.round("story_seconds", 2).alias("story_seconds"), secs("first_recorded_at").alias("first_s"), F.round("recorded_seconds", 3).alias("recorded_seconds"))
 
 
 def months(s, d):
@@ -362,7 +362,7 @@ def whole_life(s, d):
     m = docs.where(k % 4 == 0).select("archive_id", "story_id", F.lit("mention").alias("kind"), F.lit("kept").alias("status"), (k % 7).alias("entity_id"), "start", F.lit("e").alias("evidence"),
                                       F.lit(None).cast("int").alias("value"), F.lit(None).cast("int").alias("year_from"), F.lit(False).alias("anchored"), F.lit(None).cast("string").alias("note"))
     a = V.spoken_archives(s, d)
-    e = a.select("archive_id", F.explode(F.sequence(F.lit(0), F.lit(19))).cast("bigint").alias("entity_id"), F.lit("person").alias("kind"), F.lit(None).cast("string").alias("relation")).withColumn("name", F.col("entity_id").cast("string"))
+    e = a.select("archive_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(19).cast("bigint"))).alias("entity_id"), F.lit("person").alias("kind"), F.lit(None).cast("string").alias("relation")).withColumn("name", F.col("entity_id").cast("string"))
     q = docs.where(k % 6 == 0).select("story_id", k.alias("question_id"), F.lit("why").alias("text"), (k % 12 == 0).alias("dismissed"))
     x = TL.life_stories(a, sto, V.doc_recordings(s, d), seg, f, m, e, q)
     return x.select("story_id", "title", "language", "label", "provenance", "life_stage", "certainty", "year", "age", "people", "mentions", "open_questions", F.round("duration", 3).alias("duration"))
@@ -421,7 +421,7 @@ QUERIES = {
         , w as (select distinct l_orderkey as story_id, l_linenumber as pos, l_quantity + l_linenumber / 10.0::double as s from lineitem)
         select story_id, pos, round(s, 3) as "start", fact_id from w join o_facts f using (story_id) where kind <> 'life_stage' and (s + s + 0.4) / 2 between f."start" - 0.02 and f."end" + 0.02""", "o_facts")),
     "archive_stats": Query(stats, sql("""
-        select archive_id, stories, round(story_seconds, 3) as story_seconds, first_s, round(recorded_seconds, 3) as recorded_seconds from
+        select archive_id, stories, round(story_seconds, 2) as story_seconds, first_s, round(recorded_seconds, 3) as recorded_seconds from
         (select archive_id, min(recorded_s) as first_s, sum(duration) as recorded_seconds from o_recs group by 1) left join (select archive_id, count(*) as stories, sum("end" - "start") as story_seconds from o_stories where annotated group by 1) using (archive_id)""", "o_recs", "o_stories")),
     "entity_counts": Query(lambda s, d: A.entity_counts(V.order_entities(s, d), facts(s, d), V.order_stories(s, d)), sql("""
         select archive_id, entity_id, e.kind, name, stories, moments from o_entities e join (select archive_id, entity_id, count(distinct story_id) as stories, count(*) as moments from o_facts
@@ -432,7 +432,7 @@ QUERIES = {
     "recognizer_hints": Query(lambda s, d: A.recognizer_hints(V.order_entities(s, d), facts(s, d)), sql("""
         select archive_id, string_agg(name, ', ' order by uses desc, name) || '.' as hint from (select archive_id, name, max(uses) as uses from (select archive_id, entity_id, count(*) as uses from o_facts where entity_id is not null group by 1, 2)
         join (select archive_id, entity_id, name from o_entities) using (archive_id, entity_id) group by 1, 2 qualify row_number() over (partition by archive_id order by max(uses) desc, name) <= 40) group by 1""", "o_entities", "o_facts")),
-    "theme_counts": Query(lambda s, d: A.theme_counts(V.order_stories(s, d)), sql("select archive_id, unnest([theme1, theme2]) as theme, count(*) as n from o_stories where annotated group by all", "o_stories")),
+    "theme_counts": Query(lambda s, d: A.theme_counts(V.order_stories(s, d)), sql("select archive_id, theme, count(*) as n from (select archive_id, unnest([theme1, theme2]) as theme from o_stories where annotated) group by 1, 2", "o_stories")),
     "stories_per_recording": Query(lambda s, d: A.counts_per_recording(V.order_stories(s, d)), sql("select recording_id, count(*) as n from o_stories group by 1", "o_stories")),
     "segments_per_recording": Query(lambda s, d: A.counts_per_recording(V.doc_lines(s, d)), sql("select recording_id, count(*) as n from doc_lines group by 1", "doc_lines")),
     "recordings_by_month": Query(months, sql("""
@@ -463,7 +463,7 @@ QUERIES = {
     "rename_stories": Query(renamed, sql("select story_id, case when story_id % 5 = 0 then 'My ' || title else title end as title, case when story_id % 5 = 0 then 'family' else 'archive' end as title_by from o_stories", "o_stories")),
     "clear_interpretation": Query(cleared, sql("select story_id, case when recording_id % 3 = 0 then 'previous' else 'kept' end as part from o_stories", "o_stories")),
     "restore_names_in_titles": Query(restored, sql("""
-        select story_id, case when story_id in (select story_id from o_facts) then 'about Part ' || story_id % 2000 || ' and part ' || story_id % 2000 || '7' else 'about PART ' || story_id % 2000 || ' and part ' || story_id % 2000 || '7' end as title
+        select story_id, case when story_id in (select story_id from o_facts) then 'about Part ' || story_id % 2000 || ' and Part ' || story_id % 2000 || '7' else 'about PART ' || story_id % 2000 || ' and part ' || story_id % 2000 || '7' end as title
         from o_stories""", "o_stories", "o_facts")),
     "best_date": Query(lambda s, d: dates(s, d).select("story_id", "label", "year_from", "year_to", "provenance", "life_stage"), sql("select story_id, label, year_from, year_to, provenance, life_stage from best", "best")),
     "sort_year": Query(lambda s, d: TL.sort_year(dates(s, d)).select("story_id", "sort_year"), sql("select story_id, sort_year from life", "life")),

@@ -46,7 +46,7 @@ CTE: dict[str, tuple[tuple[str, ...], str]] = {
              case when (recording_id + idx) % 5 = 4 then text else w end as text,
              case when (recording_id + idx) % 5 = 4 then "start" else (start_ds + 4 * k) / 10.0::double end as "start",
              case when (recording_id + idx) % 5 = 4 then "end" else (start_ds + 4 * k + 4) / 10.0::double end as "end",
-             case when (recording_id + idx) % 5 = 4 then 0.5 else ((idx * 31 + k * 17) % 100) / 100.0::double end as p,
+             case when (recording_id + idx) % 5 = 4 then 0.5 else ((idx * 31 + k * 17) % 64) / 64.0::double end as p,
              k = n_words - 1 or (recording_id + idx) % 5 = 4 as closes_segment
       from (select *, unnest(ws) as w, generate_subscripts(ws, 1) - 1 as k from (select *, {words('text')} as ws from conv))
       where (recording_id + idx) % 5 <> 4 or k = 0"""),
@@ -96,7 +96,7 @@ CTE: dict[str, tuple[tuple[str, ...], str]] = {
     "arch": ((), """select r_regionkey::bigint as archive_id, r_name as subject, case when r_regionkey <> 4 then 1930 + r_regionkey * 7 end as birth_year from region"""),
     "o_stories": ((), f"""
       select o_custkey % 5 as archive_id, o_custkey as recording_id, o_orderkey as story_id, o_orderkey as ord, 'Order ' || o_orderkey as title, 0.0::double as "start",
-             round(o_totalprice / 1000, 2) as "end", o_orderstatus <> 'P' as annotated, o_orderdate as recorded_at,
+             o_totalprice / 1000.0::double as "end", o_orderstatus <> 'P' as annotated, o_orderdate as recorded_at,
              {quoted(L.THEMES)}[(o_orderkey % 16 + 1)::int] as theme1,
              {quoted(L.THEMES)}[((o_orderkey + length(o_orderpriority)) % 16 + 1)::int] as theme2 from orders"""),
     "o_facts": ((), f"""

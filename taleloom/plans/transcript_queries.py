@@ -59,11 +59,11 @@ def hallucinations(s, d):
 
 def sentences(s, d):
     x = T.sentences_from_words(V.conversation_segments(s, d))
-    return x.select("recording_id", "idx", "start", "end", "text", F.round("confidence", 2).alias("confidence"), F.size(F.coalesce("words", F.array())).alias("n_timed"))
+    return x.select("recording_id", "idx", "start", "end", "text", "confidence", F.size(F.coalesce("words", F.array())).alias("n_timed"))
 
 
 SENTENCES = sql(rf"""
-  select recording_id, row_number() over (partition by recording_id order by wp) - 1 as idx, "start", "end", text, round(confidence, 2) as confidence, n_timed from (
+  select recording_id, row_number() over (partition by recording_id order by wp) - 1 as idx, "start", "end", text, confidence, n_timed from (
     select recording_id, min(wp) as wp, arg_min("start", wp) as "start", arg_max("end", wp) as "end", string_agg(text, ' ' order by wp) as text,
            case when bool_or(whole) then avg(p) else round(avg(p), 3) end as confidence, case when bool_or(whole) then 0 else count(*) end as n_timed
     from (select *, (row_number() over (partition by recording_id, run order by wp) - 1) // 45 as part from (

@@ -13,6 +13,7 @@ from ..functions import lexicon as L
 from ..functions import text as X
 from ..operators.archive import ARC
 from ..operators.transcript import build_chunks
+from ..session import cut_lineage
 
 AS_OF = 2024
 NAMES = ["Anna Berg", "Luis Prado", "Clara", "Tomas Vidal", "Rosa Lima", "Peter Holm", "Ines", "Jonas Kraft", "Marta Sol", "Bruno", "Elsa Roth", "Hugo Dias"]
@@ -50,7 +51,7 @@ def timed(lines: DataFrame) -> DataFrame:
 def _words(with_times: bool = True) -> Column:
     return F.transform(X.words("text"), lambda w, i: F.struct(
         ((F.col("start_ds") + 4 * i) / 10.0).alias("start"), ((F.col("start_ds") + 4 * i + 4) / 10.0).alias("end"), w.alias("text"),
-        (((F.col("idx") * 31 + i * 17) % 100) / 100.0).alias("p")))
+        (((F.col("idx") * 31 + i * 17) % 64) / 64.0).alias("p")))
 
 
 def segments(spark: SparkSession, d: str) -> DataFrame:
@@ -156,7 +157,7 @@ def order_stories(spark: SparkSession, d: str) -> DataFrame:
     return o.select(
         (F.col("o_custkey") % 5).alias(ARC), F.col("o_custkey").alias("recording_id"), F.col("o_orderkey").alias("story_id"),
         F.col("o_orderkey").alias("ord"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("title"),
-        F.lit("archive").alias("title_by"), F.lit(0.0).alias("start"), F.round(F.col("o_totalprice") / 1000, 2).alias("end"),
+        F.lit("archive").alias("title_by"), F.lit(0.0).alias("start"), (F.col("o_totalprice") / 1000.0).alias("end"),
         (F.col("o_orderstatus") != "P").alias("annotated"), F.col("o_orderdate").alias("recorded_at"),
         F.array(F.element_at(X.literals(L.THEMES), (F.col("o_orderkey") % 16 + 1).cast("int")),
                 F.element_at(X.literals(L.THEMES), ((F.col("o_orderkey") + F.length("o_orderpriority")) % 16 + 1).cast("int"))).alias("themes"),
@@ -293,13 +294,21 @@ def lifecycle(spark: SparkSession, d: str) -> DataFrame:
 # --- search -------------------------------------------------------------------------------------------------------
 
 
+_written: dict[tuple[str, str], DataFrame] = {}
+
+
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Moments of all documents; a moment carries the vector of its document's number."""
-    seg = segments(spark, d)
-    c = build_chunks(seg, spans(seg))
-    doc = table(spark, d, "documents").select(F.col("doc_id").alias("recording_id"), F.col("lang").alias(ARC))
-    c = c.join(doc, "recording_id").withColumn("chunk_id", F.col("recording_id") * 100000 + F.col("seg_start")).withColumn("vec_id", F.col("recording_id") % 500)
-    return c.join(table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id", "left")
+    """Moments of all documents, written once per application as the search table would be; a moment carries the vector
+    of its document's number."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _written:
+        seg = segments(spark, d)
+        c = build_chunks(seg, spans(seg))
+        doc = table(spark, d, "documents").select(F.col("doc_id").alias("recording_id"), F.col("lang").alias(ARC))
+        c = c.join(doc, "recording_id").withColumn("chunk_id", F.col("recording_id") * 100000 + F.col("seg_start"))
+        c = c.withColumn("vec_id", F.col("recording_id") % 500)
+        _written[key] = cut_lineage(c.join(table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id", "left"))
+    return _written[key]
 
 
 def search_queries(spark: SparkSession, d: str) -> DataFrame:

@@ -179,7 +179,7 @@ def parse_claims(raw: DataFrame, column: str = "json") -> tuple[DataFrame, DataF
     about = p.select(
         *keep,
         F.slice(F.array_distinct(F.filter(F.coalesce("c.themes", empty), lambda t: t.isin(*L.THEMES))), 1, 3).alias("themes"),
-        F.slice(F.filter(F.transform(F.coalesce("c.questions", empty), F.trim), lambda q: q != ""), 1, 2).alias("questions"))
+        F.slice(F.filter(F.transform(F.coalesce("c.questions", empty), lambda q: F.trim(q)), lambda q: q != ""), 1, 2).alias("questions"))
     return claims, about
 
 
