@@ -86,7 +86,7 @@ def related_stories(facts: DataFrame, stories: DataFrame, k: int = 3, hub: int =
         few = e.join(many.where(F.col("c") <= subset_limit).select(ARC, "story_id"), [ARC, "story_id"])
         wide = e.join(many.where(F.col("c") > subset_limit).select(ARC, "story_id"), [ARC, "story_id"])
         sets = few.groupBy(ARC, "story_id").agg(F.sort_array(F.collect_list("entity_id")).alias("hubs"))
-        masks = F.sequence(F.lit(1), F.shiftleft(F.lit(1), F.size("hubs")).cast("int") - 1)
+        masks = F.sequence(F.lit(1), F.pow(F.lit(2), F.size("hubs")).cast("int") - 1)
         subset = F.transform(
             masks, lambda mask: F.filter("hubs", lambda _, i: mask.bitwiseAND(F.pow(F.lit(2), i).cast("int")) != 0)
         )

@@ -16,7 +16,7 @@ from ..operators.transcript import build_chunks
 from ..session import cut_lineage
 
 AS_OF = 2024
-NAMES = ["Anna Berg", "Luis Prado", "Clara", "Tomas Vidal", "Rosa Lima", "Peter Holm", "Ines", "Jonas Kraft", "Marta Sol", "Bruno", "Elsa Roth", "Hugo Dias"]
+NAMES = ["Anna Berg", "Luis Prado", "Clara", "Tomas Vidal", "Rosa Lima", "Peter Holm", "Ludwiga", "Jonas Kraft", "Marta Sol", "Bruno", "Elsa Roth", "Hugo Dias"]
 PLACES = ["Porto Novo", "Lindau", "Santa Clara", "Oakfield", "Vila Rica", "Bremen", "Saltillo", "Ashby", "Monte Alto", "Ulm"]
 
 
