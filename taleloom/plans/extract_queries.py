@@ -261,10 +261,10 @@ def mentions(s, d):
 
 MENTIONS = sql(f"""
   , en as (select generate_subscripts(n, 1) - 1 + base as entity_id, unnest(n) as name from (select {quoted(V.NAMES)} as n, 0 as base union all select {quoted(V.PLACES)}, 100)),
-  h as (select s.story_id, entity_id, name, g.idx, g.start_ds, {words('text')} as ws from sp_spans s join spoken g on g.recording_id = s.recording_id and g.idx between seg_start and seg_end join en on regexp_matches(g.text, '(^|[^\\p{{L}}])' || name || '([^\\p{{L}}]|$)')),
-  p as (select story_id, entity_id, idx, start_ds, name, len(string_split(name, ' ')) as l, ws, unnest(range(1, len(ws) + 1)) as k from h),
-  q as (select story_id, entity_id, idx as seg, (start_ds + 4 * (k - 1)) / 10.0::double as "start", (start_ds + 4 * (k - 1 + l)) / 10.0::double as "end", array_to_string(ws[k:k + l - 1], ' ') as evidence from p
-        where regexp_replace(array_to_string(ws[k:k + l - 1], ' '), '[.,]$', '') = name),
+  p as (select story_id, idx, start_ds, ws, unnest(range(1, len(ws) + 1)) as k from (select s.story_id, g.idx, g.start_ds, {words('text')} as ws from sp_spans s join spoken g on g.recording_id = s.recording_id and g.idx between seg_start and seg_end)),
+  w as (select *, regexp_replace(ws[k], '[.,]$', '') as c1, ws[k] || ' ' || regexp_replace(ws[k + 1], '[.,]$', '') as c2 from p),
+  q as (select story_id, entity_id, idx as seg, (start_ds + 4 * (k - 1)) / 10.0::double as "start", (start_ds + 4 * k) / 10.0::double as "end", ws[k] as evidence from w join en on name = c1
+        union all select story_id, entity_id, idx, (start_ds + 4 * (k - 1)) / 10.0::double, (start_ds + 4 * (k + 1)) / 10.0::double, ws[k] || ' ' || ws[k + 1] from w join en on name = c2),
   noted as (select s.story_id, s.story_id % 12 as entity_id, g."start" as t from sp_spans s join spoken g on g.recording_id = s.recording_id and g.idx = s.seg_end where s.story_id % 3 = 0)
   select story_id, entity_id, 'kept' as status, seg, "start", "end", evidence from q where not exists (select 1 from noted n where n.story_id = q.story_id and n.entity_id = q.entity_id and abs(n.t - q."start") < 1.5)
 """, "sp_spans", "spoken")
