@@ -59,6 +59,11 @@ def strip_outer(col: Column, keep: str = r"\p{L}\p{N}") -> Column:
     return F.regexp_replace(col, rf"^[^{keep}]+|[^{keep}]+$", "")
 
 
+def once(value: Column, use) -> Column:
+    """`use(value)` with the value computed once, also where `use` refers to it inside other lambdas."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def literals(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
@@ -118,12 +123,13 @@ def names_institution(name: Column) -> Column:
 
 
 def is_hallucination(text: Column) -> Column:
-    n = normalize(text)
-    known = F.exists(
-        literals(L.HALLUCINATIONS),
-        lambda h: (n == h) | (F.contains(n, h) & (F.length(n) < F.length(h) + L.HALLUCINATION_SLACK)),
-    )
-    return (n == "") | known
+    def known(n: Column) -> Column:
+        return (n == "") | F.exists(
+            literals(L.HALLUCINATIONS),
+            lambda h: (n == h) | (F.contains(n, h) & (F.length(n) < F.length(h) + L.HALLUCINATION_SLACK)),
+        )
+
+    return once(normalize(text), known)
 
 
 def display_name(raw: Column) -> Column:

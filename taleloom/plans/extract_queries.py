@@ -64,13 +64,14 @@ EXPRESSIONS = sql(r"""
 
 
 def supported(s, d):
-    x = V.spoken_lines(s, d).withColumn("year", (F.lit(1940) + (F.col("recording_id") * 5 + F.col("idx") * 11) % 70 + F.col("idx") % 2).cast("int"))
+    y = F.lit(1940) + (F.col("recording_id") * 5 + F.col("idx") * 11) % 70 + F.col("idx") % 2
+    x = V.spoken_lines(s, d).withColumn("year", F.when(y >= 2000, y - 40).otherwise(y).cast("int"))
     ts = X.tokens("text")
     return x.select("recording_id", "idx", E.year_supported(ts, F.col("year")).alias("supported"), E.year_is_approximate(ts, F.col("year")).alias("approximate"))
 
 
 SUPPORTED = sql("""
-  , m as (select recording_id, idx, (recording_id + idx) % 9 as t, 1940 + (recording_id * 5 + idx * 11) % 70 as said, 1940 + (recording_id * 5 + idx * 11) % 70 + idx % 2 as y,
+  , m as (select recording_id, idx, (recording_id + idx) % 9 as t, 1940 + (recording_id * 5 + idx * 11) % 70 as said, 1940 + (recording_id * 5 + idx * 11) % 70 + idx % 2 as y0, case when y0 >= 2000 then y0 - 40 else y0 end as y,
           5 + (recording_id * 3 + idx * 7) % 90 as age from spoken_raw)
   select recording_id, idx, t in (3, 4, 7) and said = y as supported, t = 7 and said = y as approximate from m
 """, "spoken_raw")
