@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from taleloom.plans.registry import Query
 
-from . import chat, exact_dedup, packing, sharding, token_counts
+from . import chat, exact_dedup, packing, quality, sharding, token_counts, word_table
 
 QUERIES = {
     "op1_feistel_shards": Query(sharding.op1_feistel_shards),
     "op2_prefix_token_counts": Query(token_counts.op2_prefix_token_counts),
     "op3_pack_best_fit": Query(packing.op3_pack_best_fit),
     "op4_exact_dedup": Query(exact_dedup.op4_exact_dedup, exact_dedup.OP4_SQL),
+    "op7_adaptive_quality": Query(quality.op7_adaptive_quality, quality.OP7_SQL),
+    "op8_word_table_bpe": Query(word_table.op8_word_table_bpe),
     "op5_prefix_targets": Query(chat.op5_prefix_targets),
 }
