@@ -65,3 +65,14 @@ def _same(keys: Sequence[str]) -> Column:
     for k in keys:
         on = on & F.col(f"`{k}`").eqNullSafe(F.col(f"`_k_{k}`"))
     return on
+
+
+def thinned(df: DataFrame, gone: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """df less the rows whose keys the written table `gone` has; where its _stay holds, one of the rows with these keys comes back."""
+    own = [F.col(f"`{c}`") for c in columns]
+    main = anti(df, gone.select(*keys), keys).select(*own)
+    repeated = gone.where("_stay")
+    if repeated.isEmpty():
+        return main
+    again = attach(df, repeated.select(*keys), keys, "left_semi").select(*keys, F.struct(*own).alias("_whole"))
+    return main.unionByName(again.groupBy(*keys).agg(F.any_value("_whole").alias("_whole")).select("_whole.*"))

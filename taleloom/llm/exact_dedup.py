@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import anti, attach, table, written
+from .common import table, thinned, written
 
 #: A digest held by more than this share of the rows is found by the frequent-items pass for certain.
 SUPPORT = 0.002
@@ -53,14 +53,8 @@ def drop_exact_duplicates(docs: DataFrame, support: float = SUPPORT) -> DataFram
     own = docs.columns
     keyed = docs.withColumn("_digest", F.sha2(F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, UPPER.lower()), 256))
     groups = _resolved(written(_keyed(docs)), support).groupBy("_digest", "doc_id").agg(F.count_if(~F.col("kept")).alias("_gone"), F.count_if("kept").alias("_stay"))
-    gone = written(groups.where("_gone > 0"))
-    main = anti(keyed, gone.select("_digest", "doc_id"), ["_digest", "doc_id"])
-    repeated = gone.where("_stay > 0")
-    if not repeated.isEmpty():
-        again = attach(keyed, repeated.select("_digest", "doc_id"), ["_digest", "doc_id"], "inner")
-        whole = F.struct(*(F.col(f"`{c}`") for c in own))
-        main = main.select(*own).unionByName(again.select("_digest", "doc_id", whole.alias("_w")).groupBy("_digest", "doc_id").agg(F.any_value("_w").alias("_w")).select("_w.*"))
-    return main.select(*(F.col(f"`{c}`") for c in own))
+    gone = written(groups.where("_gone > 0").select("_digest", "doc_id", (F.col("_stay") > 0).alias("_stay")))
+    return thinned(keyed, gone, ["_digest", "doc_id"], own)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

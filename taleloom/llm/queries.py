@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from taleloom.plans.registry import Query
 
-from . import chat, exact_dedup, packing, quality, sharding, suffix_dedup, token_counts, word_table
+from . import chat, exact_dedup, near_dedup, packing, quality, sharding, suffix_dedup, token_counts, word_table
 
 QUERIES = {
     "op1_feistel_shards": Query(sharding.op1_feistel_shards),
@@ -14,5 +14,6 @@ QUERIES = {
     "op7_adaptive_quality": Query(quality.op7_adaptive_quality, quality.OP7_SQL),
     "op8_word_table_bpe": Query(word_table.op8_word_table_bpe),
     "op6_suffix_dedup": Query(suffix_dedup.op6_suffix_dedup),
+    "op9_bag_min_hash": Query(near_dedup.op9_bag_min_hash),
     "op5_prefix_targets": Query(chat.op5_prefix_targets),
 }
