@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import byte_bpe
-from .common import numbered, table
+from .common import numbered, table, written
 
 CAPACITY = 1024
 END_OF_TEXT = b"\0\0\0\0"
@@ -109,7 +109,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     offset 0 without gaps. A hot length is spread over many range partitions, as the row's values follow it in the order.
     """
     order = ["length", *(c for c in ("ids_crc32", "doc_id", "start") if c in items.columns)]
-    rows = numbered(items, order, "_item")
+    rows = numbered(written(items), order, "_item")  # written first: the sampling of ranges would make the pieces a second time
     counts = {int(r["length"]): int(r["n"]) for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     before, total = {}, 0
     for length in sorted(counts):
