@@ -60,7 +60,10 @@ def counted(docs: DataFrame, text: str = "text") -> DataFrame:
         "length_rate": F.expr("word_chars * 1000 div greatest(n_words, 1)"),
     }
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return made.withColumns(rates | {"base_failed": failed}).drop("_n_lines")
+    made = made.withColumns(rates | {"base_failed": failed})
+    # through a generator of one row: a filter on the counts is then not pushed below, where it would compute them once more for each use
+    own = F.inline(F.array(F.struct(*COUNTS, *FLOORS, "base_failed")))
+    return made.select(*(F.col(f"`{c}`") for c in docs.columns), own)
 
 
 def _bucket(rate: str) -> Column:
