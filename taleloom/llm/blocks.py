@@ -12,15 +12,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def tight(numbers: np.ndarray) -> np.ndarray:
+    """Whole numbers in the narrowest unsigned type that holds them; others as they are."""
+    if numbers.dtype.kind not in "ui" or not len(numbers) or numbers.min() < 0:
+        return numbers
+    return numbers.astype(np.min_scalar_type(int(numbers.max())))
+
+
 def squeezed(**columns) -> bytes:
-    """Named numpy arrays or byte strings as one compressed block."""
+    """Named numpy arrays or byte strings as one compressed block; whole numbers come back in the narrowest type."""
+    columns = {k: v if isinstance(v, bytes) else tight(v) for k, v in columns.items()}
     arrays = {k: pa.array([v], pa.binary()) if isinstance(v, bytes) else pa.array([v.tobytes()], pa.binary()) for k, v in columns.items()}
     kinds = {k: "" if isinstance(v, bytes) else v.dtype.str for k, v in columns.items()}
     batch = pa.record_batch(list(arrays.values()), schema=pa.schema([pa.field(k, pa.binary(), metadata={"kind": kinds[k]}) for k in arrays]))
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema) as writer:
         writer.write_batch(batch)
-    return zstandard.compress(sink.getvalue(), 1)
+    return zstandard.compress(sink.getvalue(), 3)
 
 
 def opened(block: bytes) -> dict:

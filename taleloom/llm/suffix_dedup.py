@@ -1,6 +1,6 @@
 """Removal of repeated passages by a suffix array: sampled splitters deal out suffixes, buckets sort them by multikey quicksort.
 
-The suffixes are those that start where a window of `length` bytes may repeat. A window's leading token is its anchor: of the 16-byte strings in
+The suffixes are those that start where a window of `length` bytes may repeat. A window's leading token is its anchor: of the 24-byte strings in
 it, the one of least rank. Equal windows have equal anchors, so windows with one anchor lie next to each other in a text and travel as one run of
 bytes, and runs whose anchor occurs in one document only need not travel at all.
 """
@@ -20,7 +20,7 @@ from .blocks import on_group, on_groups, opened, sliced, squeezed, total_bytes,
 from .common import table
 
 LENGTH = 50
-ANCHOR = 16
+ANCHOR = 24
 #: Text per shard of documents and per bucket of suffixes, in bytes.
 SHARD_BYTES = 4 << 20
 MOST_BUCKETS = 1 << 20
@@ -56,7 +56,10 @@ def runs(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     for at in range(0, max(0, len(data) - length + 1), PART):
         part = data[at : at + PART + length - 1]
         w = _words(part)
-        least = _mix(w[:-8] * np.uint64(0x9E3779B97F4A7C15) + _mix(w[8:]))
+        n = len(part) - ANCHOR + 1
+        least = w[:n] * np.uint64(0x9E3779B97F4A7C15)
+        for o in range(8, ANCHOR, 8):
+            least = _mix(least + w[o : o + n])
         span = 1
         while 2 * span <= wide:
             least = np.minimum(least[:-span], least[span:])
@@ -107,10 +110,10 @@ def _sample(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
 
 def splitters(texts: DataFrame, buckets: int, length: int, size: int) -> np.ndarray:
     """Bucket bounds among the ranks of anchors, from a sample of documents that holds about SAMPLES anchors per bucket."""
-    wanted = SAMPLES * buckets * length  # bytes of text; an anchor stands for some 18
+    wanted = SAMPLES * buckets * length  # bytes of text; an anchor stands for some 14
     share = min(1.0, 4 * wanted / max(size, 1))
     drawn = texts.sample(share, seed=5).mapInArrow(partial(_sample, length=length), "rank long")
-    keep = min(1.0, SAMPLES * buckets * 18 / max(size * share, 1))
+    keep = min(1.0, SAMPLES * buckets * 14 / max(size * share, 1))
     ranks = np.array([r[0] for r in drawn.sample(keep, seed=6).collect()], dtype=np.int64).view(np.uint64)
     if not len(ranks):
         return np.empty(0, np.uint64)
@@ -149,7 +152,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], bounds, length: int) -> Iterator
             if len(rank):
                 parts.append((rank, np.full(len(rank), shard, np.uint32)))
                 held += len(rank)
-        if held > 3_000_000:
+        if held > 1_000_000:
             yield from emit()
     if parts:
         yield from emit()
@@ -195,7 +198,7 @@ def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches, 2, 4 * PART):
         held.append(batch)
         size += batch.nbytes
-        if size > 48 * PART:
+        if size > 16 * PART:
             yield emit()
             held, size = [], 0
     if held:
@@ -331,7 +334,7 @@ def _removed(left: pa.Table, right: pa.Table) -> pa.Table:
     if left.num_rows:
         ids, rows, texts = _opened_docs(left)
         parts = [opened(b) for b in right.column("block").to_pylist()]
-        row, start, end = (np.concatenate([p[c] for p in parts]) if parts else np.empty(0, np.int64) for c in ("row", "start", "end"))
+        row, start, end = (np.concatenate([p[c].astype(np.int64) for p in parts]) if parts else np.empty(0, np.int64) for c in ("row", "start", "end"))
         order = np.lexsort((start, row))
         row, start, end = row[order], start[order], end[order]
         for doc, key, data in zip(ids.tolist(), rows.tolist(), texts, strict=True):
