@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from operator import sub
 
 import numpy as np
 import pandas as pd
@@ -17,8 +19,9 @@ from pyspark.sql.types import LongType
 from .common import table, without
 
 SPACE = "▁"
-#: Words kept in a worker's table before it starts anew.
-KEPT_WORDS = 400_000
+#: Words and parts of words kept in a worker's tables before they start anew.
+KEPT_WORDS = 300_000
+KEPT_PARTS = 700_000
 LONG_WORD = 64
 LIMIT = 4096
 
@@ -43,7 +46,10 @@ class PrefixCounter:
         if any(SPACE in p.lstrip(SPACE) for p in self.rank):
             raise ValueError("a piece of this model reaches over a word's beginning")
         self.longest = max(map(len, self.rank))
+        #: Neighbouring letters that stand in no piece keep what is left of them apart from what is right.
+        self.near = {p[i : i + 2] for p in self.rank for i in range(len(p) - 1)}
         self.together: dict[tuple[str, str], bool] = {}
+        self.parts: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -57,35 +63,44 @@ class PrefixCounter:
         return parts
 
     def stays(self, left: str, right: str) -> bool:
-        key = (left, right)
-        known = self.together.get(key)
-        if known is None:
-            if len(self.together) > 1_000_000:
-                self.together.clear()
-            known = self.together[key] = self.merged(left + right) == [left, right]
-        return known
+        if len(self.together) > 1_000_000:
+            self.together.clear()
+        stay = self.together[(left, right)] = self.merged(left + right) == [left, right]
+        return stay
 
     def counts(self, word: str) -> list[int]:
         """Tokens of each prefix of a word, from the empty one on."""
-        rank, stays, longest = self.rank, self.stays, self.longest
+        rank, stays, longest, together = self.rank, self.stays, self.longest, self.together
         counts, last = [0], [""]
         for end in range(1, len(word) + 1):
             for start in range(max(0, end - longest), end):
                 piece = word[start:end]
-                if piece in rank:
-                    before = last[start]
-                    if not before or stays(before, piece):
-                        counts.append(counts[start] + 1)
-                        last.append(piece)
-                        break
+                if piece in rank and (not (before := last[start]) or (known := together.get((before, piece))) or (known is None and stays(before, piece))):
+                    counts.append(counts[start] + 1)
+                    last.append(piece)
+                    break
             else:  # a letter that the model lacks: one token per UTF-8 byte, and nothing merges with it
                 counts.append(counts[end - 1] + len(word[end - 1].encode()))
                 last.append("")
         return counts
 
     def steps(self, word: str) -> bytes:
-        """Changes of the count over the word's code points, as 16-bit integers."""
-        return np.diff(np.array(self.counts(word), dtype=np.int32)).astype("<i2", casting="same_kind").tobytes()
+        """Changes of the count over the word's code points, as 16-bit integers; parts that no piece joins are done once each."""
+        near, parts, out, first = self.near, self.parts, [], 0
+        for end in range(1, len(word) + 1):
+            if end == len(word) or word[end - 1 : end + 1] not in near:
+                part = word[first:end]
+                steps = parts.get(part)
+                if steps is None:
+                    counts = self.counts(part)
+                    steps = array("h", map(sub, counts[1:], counts)).tobytes()
+                    if len(parts) > KEPT_PARTS:
+                        parts.clear()
+                    if len(part) <= LONG_WORD:
+                        parts[part] = steps
+                out.append(steps)
+                first = end
+        return b"".join(out)
 
     def prefixes(self, text: str) -> bytes:
         """Changes of the count over the text's code points; the first holds the mark put before every text."""
