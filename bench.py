@@ -11,7 +11,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 HEADLINE = [
-    "text_normalize", "sentences_from_words", "plan_stories", "build_chunks", "paragraphs", "detect_pauses", "related_stories", "entity_threads",
+    "text_normalize", "sentences_from_words", "plan_stories", "build_chunks", "paragraphs", "detect_pauses", "related_stories", "entity_timelines",
     "timeline_gaps", "locate_exact", "time_expressions", "bm25_topk", "cosine_topk", "search_policy", "mention_scan", "resolve_offsets", "heard_coverage",
     "playback_sessions",
 ]
@@ -23,7 +23,7 @@ def main() -> None:
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = get_session(f"local[{cpus}]")
+    spark = get_session(f"local[{cpus}]", spark__sql__shuffle__partitions=8, spark__driver__memory="12g")
     spark.sparkContext.setLogLevel("ERROR")
     ship_package(spark)
     spark.range(1000).selectExpr("sum(id)").collect()

@@ -149,3 +149,6 @@ FRAMES_PER_SECOND = 20
 SAME_MOMENT = 1.5
 COS_STRONG, COS_WEAK, COS_SPREAD, COS_SEPARATION = 0.42, 0.30, 0.06, 0.08
 HEARD_STEPS = 48
+
+# Fixed value: a question is cut to this many characters.
+QUESTION_CHARS = 200

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -168,7 +168,7 @@ def entity_detail(entities: DataFrame, facts: DataFrame, stories: DataFrame, seg
 def story_links(focus: DataFrame, mentions: DataFrame) -> DataFrame:
     """Stories reachable from given focus stories through a shared entity, one row per (focus, story, entity).
 
-    Only the focus stories are expanded, so the result grows with the threads of those stories, not with all pairs.
+    Only the focus stories are expanded, so the result grows with the links of those stories, not with all pairs.
     """
     e = mentions.select(ARC, "story_id", "entity_id").distinct()
     mine = e.join(focus.select(ARC, "story_id"), [ARC, "story_id"], "left_semi").withColumnRenamed("story_id", "focus_id")
@@ -176,12 +176,25 @@ def story_links(focus: DataFrame, mentions: DataFrame) -> DataFrame:
 
 
 def nearest_linked(focus: DataFrame, mentions: DataFrame, years: DataFrame, k: int = 3) -> DataFrame:
-    """For each entity of a focus story, the k other stories nearest in year."""
+    """For each entity of a focus story, the k other stories nearest in year; ties go to the lower story id.
+
+    No story pairs are formed: of each year on an entity's line only the k + 1 lowest stories can be chosen, and a focus story looks at its own
+    year and at the k dated years to each side. An entity's line is as long as its years, however many stories it has.
+    """
     y = years.where(F.col("year").isNotNull()).select("story_id", "year")
-    links = story_links(focus, mentions).join(y, "story_id")
-    own = y.select(F.col("story_id").alias("focus_id"), F.col("year").alias("focus_year"))
-    links = links.join(own, "focus_id").withColumn("years_apart", F.abs(F.col("year") - F.col("focus_year")))
-    return top_k(links, [ARC, "focus_id", "entity_id"], [F.asc("years_apart"), F.asc("story_id")], k)
+    on_line = mentions.select(ARC, "story_id", "entity_id").distinct().join(y, "story_id")
+    lowest = top_k(on_line, [ARC, "entity_id", "year"], [F.asc("story_id")], k + 1, "__r")
+    line = lowest.groupBy(ARC, "entity_id", "year").agg(F.array_sort(F.collect_list("story_id")).alias("ids"))
+    w = Window.partitionBy(ARC, "entity_id").orderBy("year")
+    point = F.struct("year", "ids")
+    near = F.array(point, *(f(point, n).over(w) for n in range(1, k + 1) for f in (F.lag, F.lead)))
+    line = line.select(ARC, "entity_id", "year", F.filter(near, lambda p: p.isNotNull()).alias("near"))
+    asked = on_line.join(focus.select("story_id").distinct(), "story_id", "left_semi").withColumnRenamed("story_id", "focus_id")
+    each = lambda p: F.transform(p["ids"], lambda s: F.struct(F.abs(p["year"] - F.col("year")).alias("years_apart"), s.alias("story_id")))
+    x = asked.join(line, [ARC, "entity_id", "year"])
+    others = F.filter(F.flatten(F.transform("near", each)), lambda c: c["story_id"] != F.col("focus_id"))
+    x = x.select(ARC, "focus_id", "entity_id", F.posexplode(F.slice(F.array_sort(others), 1, k)).alias("at", "c"))
+    return x.select(ARC, "focus_id", "entity_id", "c.story_id", "c.years_apart", (F.col("at") + 1).alias("rank"))
 
 
 def entity_names(entities: DataFrame) -> DataFrame:
@@ -264,7 +277,7 @@ def stories_by_decade(life: DataFrame) -> DataFrame:
     )
 
 
-def entity_threads(mentions: DataFrame, years: DataFrame, entities: DataFrame) -> DataFrame:
+def entity_timelines(mentions: DataFrame, years: DataFrame, entities: DataFrame) -> DataFrame:
     """First and last dated year of each entity, with dated and undated story counts."""
     e = mentions.select(ARC, "story_id", "entity_id").distinct().join(years.select("story_id", "year"), "story_id")
     t = e.groupBy(ARC, "entity_id").agg(
@@ -274,8 +287,8 @@ def entity_threads(mentions: DataFrame, years: DataFrame, entities: DataFrame) -
     return t.join(entities.select(ARC, "entity_id", "kind", "name"), [ARC, "entity_id"])
 
 
-def thread_points(mentions: DataFrame, years: DataFrame) -> DataFrame:
-    """The dated stories on each entity's thread, one row per story."""
+def timeline_points(mentions: DataFrame, years: DataFrame) -> DataFrame:
+    """The dated stories on each entity's line of years, one row per story."""
     e = mentions.select(ARC, "story_id", "entity_id").distinct()
     return e.join(years.where(F.col("year").isNotNull()).select("story_id", "year"), "story_id")
 
@@ -307,7 +320,7 @@ def first_mention_per_entity(mentions: DataFrame) -> DataFrame:
 def reach_of_story(mentions: DataFrame, years: DataFrame, events: DataFrame) -> DataFrame:
     """Earliest and latest year among a story, everything linked to it, and its anchored events.
 
-    An entity's own year range already covers all stories on its thread, so no story pairs are formed.
+    An entity's own year range already covers all its stories, so no story pairs are formed.
     """
     e = mentions.select(ARC, "story_id", "entity_id").distinct()
     span = (

@@ -129,7 +129,7 @@ def transcript_lines(segments: DataFrame, cues: DataFrame) -> DataFrame:
     whole = F.floor("start")
     clock = F.concat(F.floor(whole / 60).cast("string"), F.lit(":"), F.lpad((whole % 60).cast("string"), 2, "0"))
     line = F.concat(F.lit("["), F.col("idx").cast("string"), F.lit("] "), clock, F.lit(" "), F.col("text"))
-    pause = F.format_string("— longer pause: %s s, %s× this speaker's usual pause between sentences —", _plain(F.col("d")), _plain(F.col("r")))
+    pause = F.format_string("-- pause %s s (%s x usual) --", _plain(F.col("d")), _plain(F.col("r")))
     both = F.array(F.struct(F.lit(0).alias("part"), F.when(F.col("d").isNotNull(), pause).alias("line")),
                    F.struct(F.lit(1).alias("part"), line.alias("line")))
     out = s.select("recording_id", "idx", F.explode(both).alias("l")).select("recording_id", "idx", "l.*")

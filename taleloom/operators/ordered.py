@@ -184,11 +184,14 @@ def greedy_chain(
     `reach(arrays, stop)` gets many blocks at once (each with the rows it may look ahead to; `stop[i]` is the index
     after the last row of row i's block) and returns, per row, the index of the last row of the window that would start
     there and the index of the next window's first row, `stop[i]` meaning that the pass ends. `max_jump` bounds how far
-    both may lie from the start. Returns (keys, first, last) per window.
+    both may lie from the start; a window that reaches further raises an error, so no row is lost. Keys of any length go
+    the same way: tables of entries and exits per block. Returns (keys, first, last) per window.
     """
     keys = list(keys)
     group = [*keys, _BLOCK]
-    need = with_halo(df.select(*keys, F.col(pos).cast("long").alias("__pos"), *values), "__pos", 0, max_jump, block)
+    # one row more than the bound: a window that meets the end of a full look-ahead has passed the bound
+    block = max(block, max_jump + 1)
+    need = with_halo(df.select(*keys, F.col(pos).cast("long").alias("__pos"), *values), "__pos", 0, max_jump + 1, block)
     need = need.repartition(*group).sortWithinPartitions(*group, "__pos")
     key_fields = [df.schema[k] for k in keys]
     jumps_schema = T.StructType(
@@ -203,6 +206,10 @@ def greedy_chain(
             stop = np.repeat(edges[1:], np.diff(edges))
             end, follow = reach({v: pdf[v].to_numpy() for v in values}, stop)
             here = p - np.arange(len(p))
+            own = pdf[_OWN].to_numpy()
+            ahead = np.add.reduceat(~own, edges[:-1], dtype=np.int64)
+            if (own & (follow >= stop) & (np.repeat(ahead, np.diff(edges)) > max_jump)).any():
+                raise ValueError(f"a window reaches further than max_jump={max_jump} rows")
             out = pdf[group + ["__pos"]].assign(
                 __next=np.where(follow < stop, follow + here, -1), __last=end + here
             )
@@ -210,49 +217,44 @@ def greedy_chain(
 
     jump_rows = need.mapInPandas(jumps, jumps_schema)
 
-    longest = df.agg(F.max(pos)).first()[0]
-    several_blocks = longest is not None and longest >= block
     entry_field = T.StructField("__entry", T.LongType())
-    if several_blocks:
-        jump_rows = cut_lineage(jump_rows)
-        exits_schema = T.StructType(
-            [*key_fields, T.StructField(_BLOCK, T.LongType()), T.StructField("entries", T.ArrayType(T.LongType())),
-             T.StructField("exits", T.ArrayType(T.LongType()))]
-        )
-
-        def exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in _by_group(batches, group):
-                edges = _group_edges(pdf, group)
-                rows = []
-                for a, b in zip(edges[:-1], edges[1:]):
-                    p, nx = pdf["__pos"].to_numpy()[a:b], pdf["__next"].to_numpy()[a:b].copy()
-                    while True:
-                        inside = (nx >= 0) & (nx <= p[-1])
-                        if not inside.any():
-                            break
-                        nx[inside] = nx[nx[inside] - p[0]]
-                    n = min(max_jump, b - a)
-                    rows.append((*pdf.iloc[a][group], p[:n].tolist(), nx[:n].tolist()))
-                yield pd.DataFrame(rows, columns=[*group, "entries", "exits"])
-
-        blocks = jump_rows.repartition(*group).sortWithinPartitions(*group, "__pos").mapInPandas(exits, exits_schema)
-        entry_schema = T.StructType([*key_fields, T.StructField(_BLOCK, T.LongType()), entry_field])
-
-        def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-            at, rows = 0, []
-            for r in pdf.sort_values(_BLOCK).to_dict("records"):
-                if at < 0:
-                    break
-                if at < r["entries"][0] or at >= r["entries"][0] + block:
-                    continue
-                rows.append((*[r[g] for g in group], at))
-                at = int(r["exits"][list(r["entries"]).index(at)])
-            return pd.DataFrame(rows, columns=[*group, "__entry"])
-
-        entries = blocks.groupBy(*keys).applyInPandas(compose, entry_schema)
-        jump_rows = jump_rows.join(entries, group)
-    else:
-        jump_rows = jump_rows.withColumn("__entry", F.lit(0).cast("long"))
+    jump_rows = cut_lineage(jump_rows)
+    exits_schema = T.StructType(
+        [*key_fields, T.StructField(_BLOCK, T.LongType()), T.StructField("entries", T.ArrayType(T.LongType())),
+         T.StructField("exits", T.ArrayType(T.LongType()))]
+    )
+
+    def exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _by_group(batches, group):
+            edges = _group_edges(pdf, group)
+            rows = []
+            for a, b in zip(edges[:-1], edges[1:]):
+                p, nx = pdf["__pos"].to_numpy()[a:b], pdf["__next"].to_numpy()[a:b].copy()
+                while True:
+                    inside = (nx >= 0) & (nx <= p[-1])
+                    if not inside.any():
+                        break
+                    nx[inside] = nx[nx[inside] - p[0]]
+                n = min(max_jump, b - a)
+                rows.append((*pdf.iloc[a][group], p[:n].tolist(), nx[:n].tolist()))
+            yield pd.DataFrame(rows, columns=[*group, "entries", "exits"])
+
+    blocks = jump_rows.repartition(*group).sortWithinPartitions(*group, "__pos").mapInPandas(exits, exits_schema)
+    entry_schema = T.StructType([*key_fields, T.StructField(_BLOCK, T.LongType()), entry_field])
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        at, rows = 0, []
+        for r in pdf.sort_values(_BLOCK).to_dict("records"):
+            if at < 0:
+                break
+            if at < r["entries"][0] or at >= r["entries"][0] + block:
+                continue
+            rows.append((*[r[g] for g in group], at))
+            at = int(r["exits"][list(r["entries"]).index(at)])
+        return pd.DataFrame(rows, columns=[*group, "__entry"])
+
+    entries = blocks.groupBy(*keys).applyInPandas(compose, entry_schema)
+    jump_rows = jump_rows.join(entries, group)
 
     heads_schema = T.StructType(
         [*key_fields, T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]
@@ -272,5 +274,5 @@ def greedy_chain(
             out = pdf.iloc[chosen]
             yield out[keys].assign(first=out["__pos"].to_numpy(), last=out["__last"].to_numpy())
 
-    ready = jump_rows.repartition(*group).sortWithinPartitions(*group, "__pos") if several_blocks else jump_rows
+    ready = jump_rows.repartition(*group).sortWithinPartitions(*group, "__pos")
     return ready.mapInPandas(heads, heads_schema)

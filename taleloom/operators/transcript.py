@@ -354,7 +354,7 @@ def _token_reach(v: dict[str, np.ndarray], stop: np.ndarray) -> tuple[np.ndarray
 def token_windows(segments: DataFrame, block: int = BLOCK) -> DataFrame:
     """Consecutive segments packed under a token budget."""
     s = segments.select("recording_id", "idx", (X.estimated_tokens("text") + L.TOKENS_PER_LINE).cast("long").alias("cost"))
-    w = greedy_chain(s, REC, "idx", ["cost"], _token_reach, L.PROMPT_TOKENS // (L.TOKENS_PER_LINE + 1) + 1, block)
+    w = greedy_chain(s, REC, "idx", ["cost"], _token_reach, L.PROMPT_TOKENS // L.TOKENS_PER_LINE + 1, block)
     return w
 
 

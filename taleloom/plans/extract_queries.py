@@ -109,7 +109,7 @@ def exact(s, d):
 
 CLAIMS = f"""
   , claims as (select s.recording_id, story_id, seg_start, seg_end, seg_start + 3 as claimed, array_to_string({words('text')}[2:4], ' ') as phrase
-               from spans s join seg g on g.recording_id = s.recording_id and g.idx = seg_start + story_id % 3 and g.idx <= 1000000),
+               from spans s join seg g on g.recording_id = s.recording_id and g.idx = seg_start + story_id % 3),
   located as (select story_id, claimed, g.idx, g."start", g."end", {words('g.text')} as ws, {norm('phrase')} as needle, {norm('g.text')} as hay
               from claims c join seg g on g.recording_id = c.recording_id and g.idx between seg_start and seg_end where {norm('phrase')} <> '' and contains(' ' || {norm('g.text')} || ' ', ' ' || {norm('phrase')} || ' ')),
   spot as (select *, len(string_split(trim((' ' || hay || ' ')[1:strpos(' ' || hay || ' ', ' ' || needle || ' ')]), ' ')) as before_raw, strpos(' ' || hay || ' ', ' ' || needle || ' ') as sp, len(string_split(needle, ' ')) as l from located),
@@ -204,7 +204,7 @@ def year_from_age(s, d):
 YEAR_FROM_AGE = sql("""
   , a as (select story_id, arg_min(idx, idx) as seg, arg_min(5 + (g.recording_id * 3 + idx * 7) % 90, idx) as age from sp_spans s join spoken_raw g on g.recording_id = s.recording_id and idx between seg_start and seg_end
           where (g.recording_id + idx) % 9 = 0 and s.archive_id <> 'de' and story_id % 4 <> 0 group by 1)
-  select story_id, 1935 + age as year_from, seg, 'I was ' || age || ' years old' as evidence, 'Calculated from “I was ' || age || ' years old” and the year of birth, 1935.' as note from a where 1935 + age <= 2024
+  select story_id, 1935 + age as year_from, seg, 'I was ' || age || ' years old' as evidence, 'age_and_birth: I was ' || age || ' years old / 1935' as note from a where 1935 + age <= 2024
 """, "sp_spans", "spoken_raw")
 
 
@@ -296,8 +296,8 @@ TIME_MARKS = sql("""
   , m as (select story_id, s.archive_id, idx, (g.recording_id + idx) % 9 as t, 5 + (g.recording_id * 3 + idx * 7) % 90 as age, 2 + (g.recording_id + idx) % 11 as y from sp_spans s join spoken_raw g on g.recording_id = s.recording_id and g.idx between seg_start and seg_end),
   a as (select story_id, idx, 1935 + age as year from m where t = 0 and archive_id <> 'de' and 1935 + age <= 2024), r as (select story_id, idx from m where t in (1, 2)),
   o as (select story_id, m.idx, y, (select arg_max(year, a.idx) from a where a.story_id = m.story_id and a.idx < m.idx) as base, (select max(a.idx) from a where a.story_id = m.story_id and a.idx < m.idx) as at_, (select max(r.idx) from r where r.story_id = m.story_id and r.idx < m.idx) as rel from m where t = 1),
-  v as (select *, case when base is null then 'No year is said before it in this story, so its starting point is unknown.' when rel > at_ then 'It follows another relative expression, so its starting point is uncertain.'
-        when base + y > 2024 then 'It would fall after today.' end as reason from o)
+  v as (select *, case when base is null then 'no_year_before' when rel > at_ then 'after_relative'
+        when base + y > 2024 then 'in_future' end as reason from o)
   select story_id, case when reason is null then 'kept' else 'refused' end as status, y as value, case when reason is null then base + y end as year_from, idx as seg, reason from v
 """, "sp_spans", "spoken_raw")
 

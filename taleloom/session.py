@@ -25,17 +25,18 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
-def get_session(master: str = "local[*]", shuffle_partitions: int = 8) -> SparkSession:
+def get_session(master: str | None = None, **settings: object) -> SparkSession:
+    """A session with the settings that results depend on; sizes are left to the cluster unless they are given as keywords, with two underscores for a dot."""
+    builder = SparkSession.builder if master is None else SparkSession.builder.master(master)
+    for name, value in settings.items():
+        builder = builder.config(name.replace("__", "."), str(value))
     return (
-        SparkSession.builder.master(master)
-        .appName("taleloom")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        builder.appName("taleloom")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "12g")
         .getOrCreate()
     )
 
@@ -46,9 +47,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-            folder = tempfile.mkdtemp(prefix="taleloom-ckpt-")
-        sc.setCheckpointDir(folder)
+        # unset, as in tests: beside the tables of the warehouse, which all executors share
+        sc.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return df.checkpoint(eager=True)

@@ -10,10 +10,10 @@ DATA = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from taleloom.session import get_session, ship_package
 
-    s = get_session("local[8]", 4)
+    s = get_session("local[8]", spark__sql__shuffle__partitions=4, spark__driver__memory="12g", spark__checkpoint__dir=str(tmp_path_factory.mktemp("checkpoints")))
     s.sparkContext.setLogLevel("ERROR")
     ship_package(s)
     yield s

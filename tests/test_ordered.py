@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+import pytest
 from taleloom.operators import ordered as O
 from taleloom.operators import transcript as T
 
@@ -97,3 +98,28 @@ def test_in_spans_across_blocks(spark):
     s = spark.createDataFrame([("a", 3, 21, "x"), ("a", 30, 30, "y")], "recording_id string, f int, t int, name string")
     got = {(r.idx, r["name"]) for r in O.in_spans(p, s, ["recording_id"], "idx", "f", "t", block=7).collect()}
     assert got == {(i, "x") for i in range(3, 22)} | {(30, "y")}
+
+
+def test_token_windows_hold_many_empty_lines(spark):
+    seg = spark.range(6000).selectExpr("'a' as recording_id", "cast(id as int) as idx", "'' as text")
+    for block in (1 << 16, 1300, 7):
+        got = sorted((r.first, r.last) for r in T.token_windows(seg, block=block).collect())
+        assert got[0][0] == 0 and got[-1][1] == 5999 and all(a[1] + 1 == b[0] for a, b in zip(got, got[1:]))
+        assert len(got) == 6
+
+
+def test_chain_refuses_windows_beyond_its_bound(spark):
+    import numpy as np
+
+    df = spark.range(100).selectExpr("'a' as k", "id as pos")
+    jump = lambda v, stop: (np.minimum(np.arange(len(stop)) + 9, stop - 1), np.minimum(np.arange(len(stop)) + 10, stop))
+    assert O.greedy_chain(df, ["k"], "pos", [], jump, 10, 16).count() == 10
+    with pytest.raises(Exception, match="reaches further"):
+        O.greedy_chain(df, ["k"], "pos", [], jump, 5, 16).count()
+
+
+def test_dense_hits_lose_nothing(spark):
+    from taleloom.operators import marks as M
+
+    hits = spark.range(160_000).selectExpr("1 as story_id", "1 as entity_id", "0 as phrase_rank", "id as at", "id * 0.00003D as time")
+    assert sorted(r.at for r in M.spaced_dedupe(hits, 1.5).collect()) == [0, 50000, 100000, 150000]
