@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 
 from pyspark.sql import Column
@@ -11,12 +12,12 @@ from . import lexicon as L
 
 
 def _fold_tables() -> tuple[str, str]:
-    """Every precomposed lower-case letter below U+2000 and the base letter it decomposes to."""
+    """Every lower-case letter of any script that decomposes to one base letter, with or without marks, and that letter."""
     source, target = [], []
-    for code in range(0xC0, 0x2000):
+    for code in range(0xC0, sys.maxunicode + 1):
         char = chr(code)
         parts = unicodedata.normalize("NFD", char)
-        if len(parts) > 1 and char == char.lower() and all(unicodedata.category(p)[0] == "M" for p in parts[1:]):
+        if parts != char and char == char.lower() and all(unicodedata.category(p)[0] == "M" for p in parts[1:]):
             source.append(char)
             target.append(parts[0])
     return "".join(source), "".join(target)

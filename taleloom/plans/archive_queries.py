@@ -150,7 +150,7 @@ def years(s, d):
 
 
 def nearest(s, d):
-    return A.nearest_linked(focus(s, d), mentions(s, d), years(s, d)).select("focus_id", "entity_id", "story_id", "years_apart", "rank")
+    return A.nearest_linked(V.order_stories(s, d), mentions(s, d), years(s, d)).select("focus_id", "entity_id", "story_id", "years_apart", "rank")
 
 
 def only_in(s, d):
@@ -197,12 +197,12 @@ def months(s, d):
     return x.select("archive_id", F.date_format("month", "yyyy-MM").alias("month"), "recordings", F.round("seconds", 3).alias("seconds"), "stories")
 
 
-def threads(s, d):
-    return A.entity_threads(mentions(s, d), years(s, d), V.order_entities(s, d)).select("archive_id", "entity_id", "name", "first_year", "last_year", "dated", "undated")
+def timelines(s, d):
+    return A.entity_timelines(mentions(s, d), years(s, d), V.order_entities(s, d)).select("archive_id", "entity_id", "name", "first_year", "last_year", "dated", "undated")
 
 
 def trail(s, d):
-    t = A.thread_points(mentions(s, d), years(s, d))
+    t = A.timeline_points(mentions(s, d), years(s, d))
     return t.groupBy("archive_id", "entity_id").agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.count("*").alias("stories"))
 
 
@@ -251,12 +251,12 @@ def restored(s, d):
 
 
 def gaps(s, d):
-    x = life(s, d).where("certainty = 'exact' and annotated")
+    x = life(s, d).where("from_year is not null")
     return TL.timeline_gaps(V.archives(s, d), x, AS_OF)
 
 
 GAPS = sql("""
-  , l as (select * from life where certainty = 'exact' and story_id in (select story_id from o_stories where annotated)),
+  , l as (select * from life where from_year is not null),
   span as (select archive_id, coalesce(any_value(birth_year), min(from_year) - 2, 2014) as a, 2024 as z from arch left join (select archive_id, from_year from l) using (archive_id) group by 1),
   y as (select distinct archive_id, unnest(generate_series(from_year, to_year)) as y from l),
   p as (select archive_id, y from y join span using (archive_id) where y between a and z union select archive_id, a - 1 from span union select archive_id, z + 1 from span),
@@ -406,7 +406,7 @@ QUERIES = {
     "story_links": Query(links, sql(FOCUS + " select f.story_id as focus_id, b.story_id, a.entity_id from focus f join me a using (archive_id, story_id) join me b on b.archive_id = a.archive_id and b.entity_id = a.entity_id and b.story_id <> a.story_id", "mentions", "o_stories")),
     "nearest_linked": Query(nearest, sql(FOCUS + """
         select f.story_id as focus_id, a.entity_id, b.story_id, abs(year(o.recorded_at) - year(o1.recorded_at)) as years_apart, row_number() over (partition by f.story_id, a.entity_id order by abs(year(o.recorded_at) - year(o1.recorded_at)), b.story_id) as rank
-        from focus f join me a using (archive_id, story_id) join me b on b.archive_id = a.archive_id and b.entity_id = a.entity_id and b.story_id <> a.story_id
+        from o_stories f join me a using (archive_id, story_id) join me b on b.archive_id = a.archive_id and b.entity_id = a.entity_id and b.story_id <> a.story_id
         join o_stories o on o.story_id = b.story_id join o_stories o1 on o1.story_id = f.story_id qualify rank <= 3""", "mentions", "o_stories")),
     "entity_only_in": Query(only_in, sql("""
         select recording_id, kind, count(*) as n from (select archive_id, entity_id, any_value(kind) as kind, min(recording_id) as recording_id from o_facts where entity_id is not null group by 1, 2 having count(distinct recording_id) = 1) group by 1, 2""", "o_facts")),
@@ -440,7 +440,7 @@ QUERIES = {
         select archive_id, month, count(*) as recordings, round(sum(duration), 3) as seconds, sum(k) as stories from r group by grouping sets ((archive_id, month), (archive_id))""", "o_recs", "o_stories")),
     "stories_by_decade": Query(lambda s, d: A.stories_by_decade(life(s, d)), sql("""
         select archive_id, (floor(sort_year / 10) * 10)::int as decade, case when grouping(certainty) = 1 then 'all' else certainty end as certainty, count(*) as stories from life group by grouping sets ((archive_id, decade, certainty), (archive_id, decade))""", "life")),
-    "entity_threads": Query(threads, sql("""
+    "entity_timelines": Query(timelines, sql("""
         select archive_id, entity_id, name, min(y) as first_year, max(y) as last_year, count(y) as dated, 0 as undated from (select distinct m.archive_id, m.story_id, m.entity_id, year(recorded_at) as y from mentions m join o_stories using (story_id))
         join (select archive_id, entity_id, name from o_entities) using (archive_id, entity_id) group by 1, 2, 3""", "mentions", "o_stories", "o_entities")),
     "entity_trail": Query(trail, sql("""

@@ -32,7 +32,7 @@ def cues(s, d):
 def lines(s, d):
     b = _between(s, d)
     c = b.select("recording_id", "after", E.round_half_up(F.col("duration"), 1).alias("duration"), E.round_half_up(F.col("duration") * 2, 1).alias("ratio"))
-    return E.transcript_lines(V.envelope_segments(s, d), c).where("part = 0 or idx % 2 = 0")
+    return E.transcript_lines(V.envelope_segments(s, d), c)
 
 
 def slices(s, d):
@@ -58,7 +58,7 @@ def speaker_quantiles(s, d):
 SLICE = """
   select story_id, ceil((frame - f0 + 1) * cnt / (f1 - f0)) - 1 as bucket, floor(max(peak) / 255.0::double * 1000 + 0.5) / 1000 as level
   from (select *, greatest(1, least(16, f1 - f0))::double as cnt from
-    (select story_id, recording_id, greatest(0, floor("start" * 20)) as f0, least(90, greatest(greatest(0, floor("start" * 20)) + 1, ceil("end" * 20))) as f1 from e_stories)) s
+    (select story_id, recording_id, greatest(0, floor("start" * 20)) as f0, least((select max(frame) + 1 from envelope), greatest(greatest(0, floor("start" * 20)) + 1, ceil("end" * 20))) as f1 from e_stories)) s
   join envelope e on e.recording_id = s.recording_id and frame >= f0 and frame < f1 group by 1, 2
 """
 
@@ -76,13 +76,13 @@ QUERIES = {
         select recording_id, after, floor(duration * 10 + 0.5) / 10 as duration, floor(duration / typical * 10 + 0.5) / 10 as ratio, floor(typical * 10 + 0.5) / 10 as typical
         from pooled join t using (recording_id) where duration / typical >= 1.5""", "bpauses")),
     "transcript_lines": Query(lines, sql("""
-        select recording_id, after + 1 as idx, 0 as part, '— longer pause: ' || regexp_replace((floor(duration * 10 + 0.5) / 10)::varchar, '\\.0$', '') || ' s, '
-               || regexp_replace((floor(duration * 2 * 10 + 0.5) / 10)::varchar, '\\.0$', '') || '× this speaker''s usual pause between sentences —' as line from bpauses
+        select recording_id, after + 1 as idx, 0 as part, '-- pause ' || regexp_replace((floor(duration * 10 + 0.5) / 10)::varchar, '\\.0$', '') || ' s ('
+               || regexp_replace((floor(duration * 2 * 10 + 0.5) / 10)::varchar, '\\.0$', '') || ' x usual) --' as line from bpauses
         union all
-        select recording_id, idx, 1, '[' || idx || '] ' || (floor("start")::int // 60) || ':' || lpad((floor("start")::int % 60)::varchar, 2, '0') || ' sentence ' || idx from e_seg where idx % 2 = 0""", "bpauses", "e_seg")),
+        select recording_id, idx, 1, '[' || idx || '] ' || (floor("start")::int // 60) || ':' || lpad((floor("start")::int % 60)::varchar, 2, '0') || ' sentence ' || idx from e_seg""", "bpauses", "e_seg")),
     "slice_envelope": Query(slices, sql(SLICE, "envelope", "e_stories")),
     "voice_rhythm": Query(rhythm, sql("""
-        , f as (select story_id, frame, "start", "end" from (select *, floor("start" * 20) as f0, least(90, ceil("end" * 20)) as f1 from e_stories) s
+        , f as (select story_id, frame, "start", "end" from (select *, floor("start" * 20) as f0, least((select max(frame) + 1 from envelope), ceil("end" * 20)) as f1 from e_stories) s
              join envelope e on e.recording_id = s.recording_id and frame >= f0 and frame < f1 where peak / 255.0::double >= 0.2),
         g as (select *, case when frame / 20.0::double - (lag(frame) over w + 1) / 20.0::double < 0.35 then 0 else 1 end as opens from f window w as (partition by story_id order by frame)),
         r as (select story_id, any_value("start") as s, any_value("end") as e, min(frame) / 20.0::double as a, (max(frame) + 1) / 20.0::double as b from

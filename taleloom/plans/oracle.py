@@ -153,9 +153,9 @@ CTE: dict[str, tuple[tuple[str, ...], str]] = {
     # events
     "envelope": ((), """
       select recording_id, frame, floor(coalesce(v, 0.0) / top * 255 + 0.5)::int as peak from
-        (select recording_id, top, unnest(range(90)) as frame from (select recording_id, max(v) as top from
+        (select recording_id, top, unnest(range((select max(epoch_us(ts) // 28800000000) - min(epoch_us(ts) // 28800000000) + 1 from events))) as frame from (select recording_id, max(v) as top from
            (select user_id as recording_id, max(value) as v from events group by 1) group by 1))
-        left join (select user_id as recording_id, (epoch_us(ts) - 1704067200000000) // 28800000000 as frame, max(value) as v from events group by 1, 2) using (recording_id, frame)"""),
+        left join (select user_id as recording_id, epoch_us(ts) // 28800000000 - (select min(epoch_us(ts) // 28800000000) from events) as frame, max(value) as v from events group by 1, 2) using (recording_id, frame)"""),
     "e_stories": ((), """
       select user_id as recording_id, user_id * 10 + part as story_id, (user_id % 7) / 10.0::double + part * 2 as "start", (user_id % 7) / 10.0::double + part * 2 + 1.9::double as "end"
       from (select distinct user_id from events), range(2) t(part)"""),

@@ -236,10 +236,14 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
 def envelope(spark: SparkSession, d: str) -> DataFrame:
     """Loudest value per user and eight hours, scaled to 0..255; silence where nothing happened."""
     e = table(spark, d, "events")
-    frame = F.floor((F.unix_micros("ts") - 1704067200000000) / 28800000000).cast("int")
-    loud = e.groupBy(F.col("user_id").alias("recording_id"), frame.alias("frame")).agg(F.max("value").alias("v"))
-    scale = loud.groupBy("recording_id").agg(F.max("v").alias("top"))
-    grid = scale.select("recording_id", "top", F.explode(F.sequence(F.lit(0), F.lit(89))).alias("frame"))
+    hours = F.floor(F.unix_micros("ts") / 28800000000)
+    span = e.agg(F.min(hours).alias("first"), F.max(hours).alias("last"))
+    e = e.crossJoin(F.broadcast(span))  # one row
+    frame = (hours - F.col("first")).cast("int")
+    loud = e.groupBy(F.col("user_id").alias("recording_id"), frame.alias("frame"), (F.col("last") - F.col("first")).cast("int").alias("end")).agg(F.max("value").alias("v"))
+    scale = loud.groupBy("recording_id", "end").agg(F.max("v").alias("top"))
+    grid = scale.select("recording_id", "top", F.explode(F.sequence(F.lit(0), F.col("end"))).alias("frame"))
+    loud = loud.drop("end")
     peak = F.floor(F.coalesce(F.col("v"), F.lit(0.0)) / F.col("top") * 255 + 0.5).cast("int")
     return grid.join(loud, ["recording_id", "frame"], "left").select("recording_id", "frame", peak.alias("peak"))
 
@@ -306,7 +310,7 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
         c = build_chunks(seg, spans(seg))
         doc = table(spark, d, "documents").select(F.col("doc_id").alias("recording_id"), F.col("lang").alias(ARC))
         c = c.join(doc, "recording_id").withColumn("chunk_id", F.col("recording_id") * 100000 + F.col("seg_start"))
-        c = c.withColumn("vec_id", F.col("recording_id") % 500)
+        c = c.withColumn("vec_id", F.col("recording_id") % table(spark, d, "embeddings").count())
         _written[key] = cut_lineage(c.join(table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id", "left"))
     return _written[key]
 
@@ -314,7 +318,8 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
 def search_queries(spark: SparkSession, d: str) -> DataFrame:
     """Every benchmark text asked of each of the four archives."""
     b = table(spark, d, "benchmark")
-    x = b.select(F.col("item_id").alias("query_id"), F.col("text").alias("q"), (F.col("item_id") * 7 % 500).alias("vec_id"),
+    n = table(spark, d, "embeddings").count()
+    x = b.select(F.col("item_id").alias("query_id"), F.left(F.trim("text"), F.lit(L.QUESTION_CHARS)).alias("q"), (F.col("item_id") * 7 % n).alias("vec_id"),
                  F.explode(X.literals(["de", "en", "es", "fr"])).alias(ARC))
     return x.join(table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id", "left").drop("vec_id")
 
