@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def modest_batches(df: DataFrame) -> None:
+    """Arrow batches of 8 MB at most in this session: texts are long, and the default of 64 MB is held by Spark and by each Python worker."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows of df from the shared checkpoint folder: read again, they are not computed again."""
     return cut_lineage(df)

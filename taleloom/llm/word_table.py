@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from .blocks import on_group, on_groups, opened, sliced, squeezed, total_bytes, unzipped_table, zipped_table
 from .bpe import byte_bpe
-from .common import table
+from .common import modest_batches, table
 
 #: Text of one block of documents, and text per bucket of the word table, in bytes.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 5 << 20
 BUCKET_BYTES = 4 << 20
 ENCODED = "doc_id long, ids binary"
 
@@ -88,14 +88,15 @@ def _encoded_words(table: pa.Table, path: str) -> pa.Table:
     library = byte_bpe(path).library
     per_block = [_parted(**opened(b)) for b in table.column("words").to_pylist()]
     distinct = sorted(set().union(*per_block)) if per_block else []
-    ids: dict[str, bytes] = {}
-    for at in range(0, len(distinct), 20_000):
-        some = distinct[at : at + 20_000]
-        ids.update(zip(some, (array("I", e.ids).tobytes() for e in library.encode_batch(some, add_special_tokens=False)), strict=True))
+    ids: dict[str, list[int]] = {}
+    for at in range(0, len(distinct), 2_000):
+        some = distinct[at : at + 2_000]
+        ids.update(zip(some, (e.ids for e in library.encode_batch(some, add_special_tokens=False)), strict=True))
     replies = []
     for ws in per_block:
         own = list(map(ids.__getitem__, ws))
-        replies.append(squeezed(data=b"".join(own), lengths=np.fromiter(map(len, own), "<u4", len(own)), check=np.array([zlib.crc32("".join(ws).encode())], "<u4")))
+        lengths = np.fromiter(map(len, own), "<u4", len(own))
+        replies.append(squeezed(ids=np.fromiter(chain.from_iterable(own), "<u4", int(lengths.sum())), lengths=lengths, check=np.array([zlib.crc32("".join(ws).encode())], "<u4")))
     return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "ids": pa.array(replies, pa.binary())})
 
 
@@ -114,8 +115,8 @@ def _placed(left: pa.Table, right: pa.Table, path: str, buckets: int) -> pa.Tabl
         if reply is None or len(reply["lengths"]) != len(ws) or reply["check"][0] != zlib.crc32("".join(ws).encode()):
             known.update((w, bpe.whole(w)) for w in ws)
             continue
-        ends = np.cumsum(reply["lengths"], dtype=np.int64).tolist()
-        data = reply["data"]
+        ends = (4 * np.cumsum(reply["lengths"], dtype=np.int64)).tolist()
+        data = reply["ids"].astype("<u4").tobytes()
         known.update((w, data[a:b]) for w, a, b in zip(ws, [0, *ends], ends, strict=False))
     out = []
     for text in texts:
@@ -131,6 +132,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     blocks, which put them together by position. A word that a third of all documents hold comes once from each block. Texts that do not fall
     apart into words (runs of spaces, special strings) are encoded whole. A null text is empty; repeated rows stay rows.
     """
+    modest_batches(docs)
     narrow = docs.select("doc_id", "text")
     buckets = max(1, -(-total_bytes(narrow) // BUCKET_BYTES))
     words = narrow.mapInArrow(partial(_blocks, path=path, buckets=buckets, words=True), "block long, bucket int, words binary")
