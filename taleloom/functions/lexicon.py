@@ -51,22 +51,83 @@ INSTITUTIONS = (
 
 # Words that name a stage of life.
 STAGE_WORDS = {
-    "childhood": (
-        "crianca,menina,menino,pequena,pequeno,pequenininha,pequenininho,garotinha,garotinho,nenem,bebe,infancia,meninice,"
-        "child,kid,baby,toddler,little girl,little boy,childhood,nina,nino,ninez,chiquita,chiquito"
-    ).split(","),
-    "youth": (
-        "mocinha,mocinho,moca,rapaz,rapazinho,jovem,adolescente,adolescencia,juventude,mocidade,"
-        "teenager,teen,teens,teenage years,adolescent,adolescence,youth,young woman,young man,"
-        "muchacha,muchacho,jovencita,jovencito,joven,juventud"
-    ).split(","),
-    "adulthood": (
-        "adulta,adulto,idade adulta,mulher feita,homem feito,adult,adulthood,grown up,grown woman,grown man"
-    ).split(","),
-    "later_life": (
-        "velha,velho,idosa,idoso,velhinha,velhinho,velhice,terceira idade,elderly,old woman,old man,old age,"
-        "vieja,viejo,anciana,anciano,vejez"
-    ).split(","),
+    "crianca": "childhood",
+    "menina": "childhood",
+    "menino": "childhood",
+    "pequena": "childhood",
+    "pequeno": "childhood",
+    "pequenininha": "childhood",
+    "pequenininho": "childhood",
+    "garotinha": "childhood",
+    "garotinho": "childhood",
+    "nenem": "childhood",
+    "bebe": "childhood",
+    "infancia": "childhood",
+    "meninice": "childhood",
+    "child": "childhood",
+    "kid": "childhood",
+    "baby": "childhood",
+    "toddler": "childhood",
+    "little girl": "childhood",
+    "little boy": "childhood",
+    "childhood": "childhood",
+    "nina": "childhood",
+    "nino": "childhood",
+    "ninez": "childhood",
+    "chiquita": "childhood",
+    "chiquito": "childhood",
+    "mocinha": "youth",
+    "mocinho": "youth",
+    "moca": "youth",
+    "rapaz": "youth",
+    "rapazinho": "youth",
+    "jovem": "youth",
+    "adolescente": "youth",
+    "adolescencia": "youth",
+    "juventude": "youth",
+    "mocidade": "youth",
+    "teenager": "youth",
+    "teen": "youth",
+    "teens": "youth",
+    "teenage years": "youth",
+    "adolescent": "youth",
+    "adolescence": "youth",
+    "youth": "youth",
+    "young woman": "youth",
+    "young man": "youth",
+    "muchacha": "youth",
+    "muchacho": "youth",
+    "jovencita": "youth",
+    "jovencito": "youth",
+    "joven": "youth",
+    "juventud": "youth",
+    "adulta": "adulthood",
+    "adulto": "adulthood",
+    "idade adulta": "adulthood",
+    "mulher feita": "adulthood",
+    "homem feito": "adulthood",
+    "adult": "adulthood",
+    "adulthood": "adulthood",
+    "grown up": "adulthood",
+    "grown woman": "adulthood",
+    "grown man": "adulthood",
+    "velha": "later_life",
+    "velho": "later_life",
+    "idosa": "later_life",
+    "idoso": "later_life",
+    "velhinha": "later_life",
+    "velhinho": "later_life",
+    "velhice": "later_life",
+    "terceira idade": "later_life",
+    "elderly": "later_life",
+    "old woman": "later_life",
+    "old man": "later_life",
+    "old age": "later_life",
+    "vieja": "later_life",
+    "viejo": "later_life",
+    "anciana": "later_life",
+    "anciano": "later_life",
+    "vejez": "later_life",
 }
 
 # First and last age of each stage, for dating and for the axis of a life.

@@ -59,10 +59,14 @@ def tables(s, d):
     }
 
 
-def _sizes(t):
+ROW_KEYS = {"recordings": ["recording_id"], "stories": ["story_id"], "facts": ["fact_id"], "entities": ["archive_id", "entity_id"], "marks": ["story_id", "entity_id"]}
+
+
+def _keys(t):
+    """The keys of all rows that stay, table by table."""
     out = None
     for name, df in t.items():
-        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n")
+        one = df.select(F.lit(name).alias("table_name"), F.concat_ws(":", *(F.col(k).cast("string") for k in ROW_KEYS[name])).alias("row_key"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -70,20 +74,20 @@ def _sizes(t):
 def removed(s, d):
     t = tables(s, d)
     gone = t["recordings"].where((F.col("recording_id") % 10) < 9).select("recording_id")
-    return _sizes(K.remove_recordings(t, gone))
+    return _keys(K.remove_recordings(t, gone))
 
 
 def snapshot(s, d):
     t = tables(s, d)
     wanted = t["recordings"].where(F.col("recording_id") % 4 == 1).select("original_name")
-    return _sizes(K.snapshot(t, wanted))
+    return _keys(K.snapshot(t, wanted))
 
 
 SIZES = """
   , kept as (select recording_id from o_recs where {keep}), ks as (select * from o_stories where recording_id in (from kept)), kf as (select * from o_facts where recording_id in (from kept))
-  select 'recordings' as table_name, count(*) as n from kept union all select 'stories', count(*) from ks union all select 'facts', count(*) from kf
-  union all select 'marks', count(*) from o_marks where story_id in (select story_id from ks)
-  union all select 'entities', count(*) from o_entities e where exists (select 1 from kf where kf.archive_id = e.archive_id and kf.entity_id = e.entity_id)
+  select 'recordings' as table_name, recording_id::varchar as row_key from kept union all select 'stories', story_id::varchar from ks union all select 'facts', fact_id::varchar from kf
+  union all select 'marks', concat_ws(':', story_id, entity_id) from o_marks where story_id in (select story_id from ks)
+  union all select 'entities', concat_ws(':', archive_id, entity_id) from o_entities e where exists (select 1 from kf where kf.archive_id = e.archive_id and kf.entity_id = e.entity_id)
 """
 
 
@@ -347,7 +351,8 @@ def page(s, d):
     sto = V.stories(seg)
     f = facts(s, d).withColumn("detail", F.lit(None).cast("string")).withColumn("note", F.lit(None).cast("string"))
     p = TL.story_page(sto.select("story_id"), sto, seg, f.withColumn("story_id", F.col("story_id") * 100000), V.questions(s, d).withColumn("story_id", F.col("story_id") * 100000))
-    return p.groupBy("section").agg(F.count("*").alias("n"), F.countDistinct("story_id").alias("stories"))
+    shown = F.coalesce(*(F.get_json_object("body", f"$.{x}") for x in ("text", "title", "value")))
+    return p.select("story_id", "section", "ord", F.md5(shown).alias("shown_md5"))
 
 
 def whole_life(s, d):
@@ -496,9 +501,9 @@ QUERIES = {
         select s.story_id, annotated, label, f.kind as found, f.value as name, fact_id from o_stories s left join (select story_id, label from best) b using (story_id)
         left join (select * from o_facts where is_primary and kind in ('person', 'place')) f using (story_id)""", "o_stories", "best", "o_facts")),
     "story_page": Query(page, sql("""
-        select 'story' as section, count(*) as n, count(distinct story_id) as stories from stories union all select 'transcript', count(*), count(distinct story_id) from seg g join stories s on s.recording_id = g.recording_id and g.idx between seg_start and seg_end
-        union all select 'fact', count(*), count(distinct story_id) from o_facts where story_id * 100000 in (select story_id from stories)
-        union all select 'question', count(*), count(distinct conv_id) from conversations where trim(regexp_split_to_array(text, '[.\\n]')[1]) <> '' and (conv_id * 100 + turn) % 3 <> 0 and conv_id * 100000 in (select story_id from stories)""", "stories", "seg", "o_facts")),
+        select story_id, 'story' as section, 0 as ord, md5(title) as shown_md5 from stories union all select story_id, 'transcript', idx, md5(text) from seg g join stories s on s.recording_id = g.recording_id and g.idx between seg_start and seg_end
+        union all select story_id * 100000, 'fact', fact_id, md5(value) from o_facts where story_id * 100000 in (select story_id from stories)
+        union all select conv_id * 100000, 'question', conv_id * 100 + turn, md5(trim(regexp_split_to_array(text, '[.\\n]')[1])) from conversations where trim(regexp_split_to_array(text, '[.\\n]')[1]) <> '' and (conv_id * 100 + turn) % 3 <> 0 and conv_id * 100000 in (select story_id from stories)""", "stories", "seg", "o_facts")),
     "resolve_entities": Query(resolved, RESOLVED),
     "carry_period": Query(carried, CARRIED),
     "resolve_offsets": Query(offsets, OFFSETS),

@@ -305,16 +305,17 @@ TIME_MARKS = sql("""
 def rederived(s, d):
     seg, sto, f = _spoken_facts(s, d)
     x = M.rederive(sto, seg, f, V.spoken_entities(s, d), V.spoken_archives(s, d), AS_OF)
-    return x.groupBy("archive_id", "kind", "status").agg(F.count("*").alias("n"))
+    return x.select("archive_id", "story_id", "kind", "status", "seg")
 
 
 REDERIVED = sql(f"""
-  , age as (select s.archive_id, case when (g.recording_id + idx) % 9 = 2 then 'duration' else 'age' end as kind,
+  , age as (select s.archive_id, s.story_id, idx as seg, case when (g.recording_id + idx) % 9 = 2 then 'duration' else 'age' end as kind,
      case when (g.recording_id + idx) % 9 = 5 or ((g.recording_id + idx) % 9 = 0 and s.archive_id <> 'de' and 1935 + 5 + (g.recording_id * 3 + idx * 7) % 90 > 2024) then 'refused' else 'kept' end as status
      from sp_spans s join spoken_raw g on g.recording_id = s.recording_id and g.idx between seg_start and seg_end where (g.recording_id + idx) % 9 in (0, 2, 5)),
   men as ({MENTIONS[MENTIONS.index('  select story_id, entity_id, ' + chr(39) + 'kept'):]}),
   off as ({TIME_MARKS[TIME_MARKS.index('  select story_id, case when reason is null'):]})
-  select archive_id, kind, status, count(*) as n from (select * from age union all select archive_id, 'mention', status from men join sp_spans using (story_id) union all select archive_id, 'offset', status from off join sp_spans using (story_id)) group by 1, 2, 3
+  select archive_id, story_id, kind, status, seg from age union all select archive_id, story_id, 'mention', status, seg from men join sp_spans using (story_id)
+  union all select archive_id, story_id, 'offset', status, seg from off join sp_spans using (story_id)
 """, "sp_spans", "spoken", "spoken_raw")
 REDERIVED = REDERIVED.replace(", age as (", MENTIONS[MENTIONS.index(", en as ("):MENTIONS.index("  select story_id, entity_id, 'kept'")] + TIME_MARKS[TIME_MARKS.index(", m as ("):TIME_MARKS.index("  select story_id, case when reason is null")] + ", age as (", 1)
 
