@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -11,14 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import sliced
-from .common import attach, table, thinned, written
+from .common import attach, modest_batches, table, thinned, written
 
 WORDS = 5
 BANDS, ROWS = 32, 6
 #: Two texts are linked if 5 * (overlap) >= 4 * (union): similarity of 0.8 or more.
 SIMILAR = (5, 4)
 SLICE = 2 << 20
-#: Buckets of up to so many texts are compared whole in one round; larger ones by one pivot a round until they are settled.
+#: Buckets of up to so many texts are compared whole at once; larger ones from a few members, then more, up to all.
 SMALL_BUCKET = 48
 
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -174,9 +175,9 @@ def _overlapping(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) of the nodes in edges (a, b): comp is the least node that is connected. Labels go over the edges and then jump to their labels'
+    """(node, comp) of the nodes in written edges (a, b): comp is the least node that is connected. Labels go over the edges and then jump to their labels'
     labels, so long chains settle in few rounds; each round is written."""
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    both = edges.select("a", "b").union(edges.select("b", "a"))
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")))
     while True:
         heard = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("heard"))
@@ -189,54 +190,81 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of bags that are similar. Sizes are compared first; then the shingles of the bags named by the pairs are made from one
+    """The pairs (a, b) of nodes that are similar. Sizes are compared first; then the shingles of the bags named by the pairs are made from one
     text each, and go to the pairs in two joins."""
     num, den = SIMILAR
-    size = nodes.select("bag", "size", "doc_id")
     near = (
-        pairs.join(size.select(F.col("bag").alias("a"), F.col("size").alias("_x")), "a").join(size.select(F.col("bag").alias("b"), F.col("size").alias("_y")), "b")
+        pairs.join(nodes.select(F.col("id").alias("a"), F.col("size").alias("_x")), "a").join(nodes.select(F.col("id").alias("b"), F.col("size").alias("_y")), "b")
         .where(num * F.least("_x", "_y") >= den * F.greatest("_x", "_y")).select("a", "b")
     )
     near = written(near)
-    named = near.select(F.col("a").alias("bag")).union(near.select("b")).distinct()
-    wanted = written(size.join(named, "bag").select("bag", "doc_id"))
+    named = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
+    wanted = written(nodes.join(named, "id").select("id", "bag", "doc_id"))
     texts = attach(docs.select("doc_id", "text"), wanted.select("doc_id").distinct(), ["doc_id"], "left_semi").select("text")
-    made = texts.mapInArrow(_bagged, "bag binary, shingles binary, counts binary").join(wanted.select("bag"), "bag", "left_semi").dropDuplicates(["bag"])
-    made = written(made)
-    left = made.select(F.col("bag").alias("a"), F.col("shingles").alias("xs"), F.col("counts").alias("xc"))
-    right = made.select(F.col("bag").alias("b"), F.col("shingles").alias("ys"), F.col("counts").alias("yc"))
-    return near.join(left, "a").join(right, "b").select("a", "b", "xs", "xc", "ys", "yc").mapInArrow(_overlapping, "a binary, b binary")
+    made = texts.mapInArrow(_bagged, "bag binary, shingles binary, counts binary").join(wanted.select("bag", "id"), "bag")
+    made = written(made.select("id", "shingles", "counts").dropDuplicates(["id"]))
+    left = made.select(F.col("id").alias("a"), F.col("shingles").alias("xs"), F.col("counts").alias("xc"))
+    right = made.select(F.col("id").alias("b"), F.col("shingles").alias("ys"), F.col("counts").alias("yc"))
+    return near.join(left, "a").join(right, "b").select("a", "b", "xs", "xc", "ys", "yc").mapInArrow(_overlapping, "a long, b long")
+
+
+def _labelled(df: DataFrame, comps: DataFrame, name: str, label: str) -> DataFrame:
+    known = comps.select(F.col("node").alias("_node"), F.col("comp").alias("_comp"))
+    return df.join(known, F.col(name) == F.col("_node"), "left").withColumn(label, F.coalesce("_comp", name)).drop("_node", "_comp")
+
+
+def _merged(comps: DataFrame | None, found: DataFrame) -> DataFrame:
+    """Labels after more links: only the classes that the links connect are labelled anew."""
+    found = written(found)
+    if comps is None:
+        return components(found)
+    between = _labelled(_labelled(found, comps, "a", "ca"), comps, "b", "cb").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    between = written(between.distinct())
+    if between.isEmpty():
+        return comps
+    anew = components(between)
+    nodes = comps.union(anew.join(comps, "node", "left_anti").select("node", F.col("node").alias("comp")))
+    target = anew.select(F.col("node").alias("_from"), F.col("comp").alias("_to"))
+    return written(nodes.join(target, nodes["comp"] == target["_from"], "left").select("node", F.coalesce("_to", "comp").alias("comp")))
+
+
+def _chosen(step: int):
+    """Some 2 ** step members of each bucket of n members, or all; those of a smaller step are among them."""
+    return F.expr(f"pmod(xxhash64(id), shiftleft(1L, greatest(length(bin(n)) - {step}, 0))) = 0")
+
+
+def _across(live: DataFrame, step: int, before: int | None) -> DataFrame:
+    """Pairs of a bucket's chosen members with members of other classes, but for the pairs of an earlier call."""
+    tried = F.lit(False) if before is None else _chosen(before)
+    small = (F.col("n") <= SMALL_BUCKET) if before is None else F.lit(False)
+    x = live.withColumns({"pick": small | _chosen(step), "tried": tried})
+    p = x.where("pick").select("band", F.col("id").alias("a"), F.col("own").alias("ca"), F.col("tried").alias("ta"))
+    m = x.select("band", F.col("id").alias("b"), F.col("own").alias("cb"), F.col("tried").alias("tb"), F.col("pick").alias("pb"))
+    return p.join(m, "band").where("ca <> cb and not (ta and tb) and (a > b or not pb)").select("a", "b")
 
 
 def _classes(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, comp) of all bags that are linked to another."""
-    members = nodes.select("bag", F.explode("bands").alias("band"))
-    pivots = members.groupBy("band").agg(F.min("bag").alias("pivot"), F.max("bag").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    live = written(members.join(pivots, "band").select("band", "bag", "pivot", "n"))
-    edges: DataFrame | None = None
-    comps: DataFrame | None = None
-    pairs = live.where("bag <> pivot").select(F.col("bag").alias("a"), F.col("pivot").alias("b"))
-    while True:
-        pairs = written(pairs.distinct())
-        if pairs.isEmpty():
-            break
-        found = _verified(pairs, nodes, docs)
-        edges = written(found if edges is None else edges.union(found))
-        comps = components(edges)
-        # what is left: buckets that still hold more than one class, where each pair with an earlier pivot has been compared
-        label = lambda df, name, to: df.join(comps.select(F.col("node").alias(f"_{to}"), F.col("comp").alias(f"_c{to}")), F.col(name) == F.col(f"_{to}"), "left").withColumn(to, F.coalesce(f"_c{to}", name)).drop(f"_{to}", f"_c{to}")
-        rest = live.select("band", "bag", "pivot", "n").where("bag > pivot")
-        rest = label(rest, "bag", "own")
-        mixed = rest.groupBy("band").agg(F.min("own").alias("_least"), F.max("own").alias("_most"), F.min("bag").alias("next")).where("_least <> _most")
-        live = written(rest.join(mixed.select("band", "next"), "band").select("band", "bag", F.col("next").alias("pivot"), "n", "own"))
-        small = live.where(F.col("n") <= SMALL_BUCKET)
-        x, y = small.select("band", F.col("bag").alias("a"), F.col("own").alias("ca")), small.select("band", F.col("bag").alias("b"), F.col("own").alias("cb"))
-        large = live.where(F.col("n") > SMALL_BUCKET)
-        pivot = label(large, "pivot", "of")
-        pairs = x.join(y, "band").where("ca <> cb and a > b").select("a", "b").union(pivot.where("own <> of").select(F.col("bag").alias("a"), F.col("pivot").alias("b")))
-        live = large.select("band", "bag", "pivot", "n")
-        if live.isEmpty() and pairs.isEmpty():
+    """(node, comp) of the nodes that are linked to another.
+
+    First every member of a bucket meets the least one. Buckets that still hold several classes go on: small ones compare all pairs across their
+    classes at once, large ones those of about two members, then 16, 128 and so on to all, each time with the classes as they are by then. So a
+    large group of copies costs a few comparisons a member, and every pair that shares a bucket is compared unless its texts are linked already.
+    """
+    members = nodes.select("id", F.explode("bands").alias("band"))
+    leaders = members.groupBy("band").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    live = written(members.join(leaders, "band").select("band", "id", "leader", "n"))
+    comps = _merged(None, _verified(live.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), nodes, docs))
+    before = None
+    for step in count(1, 3):
+        own = _labelled(live.select("band", "id", "n"), comps, "id", "own")
+        mixed = own.groupBy("band").agg(F.min("own").alias("_least"), F.max("own").alias("_most")).where("_least <> _most").select("band")
+        live = written(own.join(mixed, "band"))
+        if live.isEmpty():
             break
+        pairs = written(_across(live, step, before).distinct())
+        if not pairs.isEmpty():
+            comps = _merged(comps, _verified(pairs, nodes, docs))
+        live, before = live.where((F.col("n") > SMALL_BUCKET) & (F.col("n") >= 1 << step)), step
     return comps
 
 
@@ -246,16 +274,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Two texts are linked if the multisets of their five-word shingles overlap by 0.8 or more of their union; classes are connected through links,
     class_id is the least doc_id in the class, and one row of it is kept. Words are runs of characters other than ASCII white space. Texts with
     equal multisets are one node (texts without words, and null, among them), so copies are not compared. Bands only propose pairs: in each
-    bucket all members meet the least one; what stays apart is compared on, all pairs in small buckets and pivot after pivot in large ones, until
-    a bucket is one class or all pairs across its classes have been compared. A pair of similarity 0.8 shares no band with probability 6e-5.
+    bucket all members meet the least one; what stays apart is compared on, until a bucket is one class or all pairs across its classes have been
+    compared. A pair of similarity 0.8 shares no band with probability 6e-5.
     key is a hash of the text; repeated rows stay rows.
     """
+    modest_batches(docs)
     docs = docs.select("doc_id", "text")
     signed = written(docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(_signed, "doc_id long, key long, bag binary, size long, bands array<bigint>"))
-    nodes = written(signed.groupBy("bag").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"), F.max("size").alias("size"), F.any_value("bands").alias("bands")))
+    nodes = written(signed.groupBy("bag").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"), F.max("size").alias("size"), F.any_value("bands").alias("bands")).withColumn("id", F.monotonically_increasing_id()))
     comps = _classes(nodes.where("size > 0"), docs)
-    named = nodes.select("bag", "doc_id", "rows")
-    named = named.withColumn("comp", F.col("bag")) if comps is None else named.join(comps, named["bag"] == comps["node"], "left").select("bag", "doc_id", "rows", F.coalesce("comp", "bag").alias("comp"))
+    named = _labelled(nodes.select("bag", "id", "doc_id", "rows"), comps, "id", "comp")
     totals = named.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.sum("rows").alias("class_size"))
     classes = named.join(totals, "comp").select("bag", "comp", "class_id", "class_size")
     rows = written(signed.select("doc_id", "key", "bag").join(classes, "bag"))
