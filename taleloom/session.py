@@ -41,12 +41,15 @@ def get_session(master: str | None = None, **settings: object) -> SparkSession:
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the cluster's shared folder, so a lost executor never forces a replay of the whole job."""
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names; if it is unset, as in tests, one beside the tables of the warehouse."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        # unset, as in tests: beside the tables of the warehouse, which all executors share
-        sc.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint to the cluster's shared folder, so a lost executor never forces a replay of the whole job."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
