@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from taleloom.session import cut_lineage, ship_package
+from taleloom.session import checkpoint_folder, cut_lineage, ship_package
 
 LOCAL_BITS = 33  # monotonically_increasing_id() keeps the position within a partition in its low 33 bits
 
@@ -27,6 +28,18 @@ def written(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows of df from a Parquet table in the shared checkpoint folder.
+
+    For loops: a checkpoint hands on the size that was estimated for its plan, and joins multiply such estimates round after round; a table has
+    the size of its files.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/tables/{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df less the columns that a result will define itself, whatever their case."""
     own = {n.lower() for n in names}

@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import sliced
-from .common import attach, modest_batches, table, thinned, written
+from .common import anti, attach, modest_batches, stored, table, thinned
 
 WORDS = 5
 BANDS, ROWS = 32, 6
 #: Two texts are linked if 5 * (overlap) >= 4 * (union): similarity of 0.8 or more.
 SIMILAR = (5, 4)
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Buckets of up to so many texts are compared whole at once; larger ones from a few members, then more, up to all.
 SMALL_BUCKET = 48
 
@@ -55,7 +55,7 @@ def _word_hashes(data: np.ndarray, starts_at: np.ndarray) -> tuple[np.ndarray, n
     ends = starts_at[(starts_at > 0) & (starts_at <= len(data))] - 1
     after[ends] = True
     end = np.flatnonzero(~gap & after) + 1
-    room = 1 << max(22, int(len(data)).bit_length())
+    room = 1 << max(20, int(len(data)).bit_length())
     up, down = _powers(room)
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64)))
     return _mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64) * _step(1)), begin
@@ -160,6 +160,14 @@ def _bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], names=["bag", "shingles", "counts"])
 
 
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text) -> (bag, shingle, n), a row per shingle."""
+    for batch in _bagged(batches):
+        for bag, shingles, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            shingle = pa.array(np.frombuffer(shingles, np.int64))
+            yield pa.record_batch([pa.array([bag] * len(shingle), pa.binary()), shingle, pa.array(np.frombuffer(counts, "<u4").astype(np.int64))], names=["bag", "shingle", "n"])
+
+
 def _overlapping(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs with both bags -> the pairs that are similar by exact multiset overlap."""
     num, den = SIMILAR
@@ -178,12 +186,12 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, comp) of the nodes in written edges (a, b): comp is the least node that is connected. Labels go over the edges and then jump to their labels'
     labels, so long chains settle in few rounds; each round is written."""
     both = edges.select("a", "b").union(edges.select("b", "a"))
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")))
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")))
     while True:
         heard = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("heard"))
         nearer = labels.join(heard, labels["node"] == heard["a"]).select("node", "comp", F.least("comp", "heard").alias("next"))
         onward = labels.select(F.col("node").alias("_n"), F.col("comp").alias("_c"))
-        jumped = written(nearer.join(onward, nearer["next"] == onward["_n"], "left").select("node", F.coalesce(F.least("next", "_c"), "next").alias("comp"), F.col("comp").alias("was")))
+        jumped = stored(nearer.join(onward, nearer["next"] == onward["_n"], "left").select("node", F.coalesce(F.least("next", "_c"), "next").alias("comp"), F.col("comp").alias("was")))
         labels = jumped.select("node", "comp")
         if jumped.where("comp <> was").isEmpty():
             return labels
@@ -197,17 +205,32 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
         pairs.join(nodes.select(F.col("id").alias("a"), F.col("size").alias("_x")), "a").join(nodes.select(F.col("id").alias("b"), F.col("size").alias("_y")), "b")
         .where(num * F.least("_x", "_y") >= den * F.greatest("_x", "_y")).select("a", "b")
     )
-    near = written(near)
+    near = stored(near)
     named = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
-    wanted = written(nodes.join(named, "id").select("id", "bag", "doc_id"))
+    wanted = stored(nodes.join(named, "id").select("id", "bag", "doc_id"))
     texts = attach(docs.select("doc_id", "text"), wanted.select("doc_id").distinct(), ["doc_id"], "left_semi").select("text")
     made = texts.mapInArrow(_bagged, "bag binary, shingles binary, counts binary").join(wanted.select("bag", "id"), "bag")
-    made = written(made.select("id", "shingles", "counts").dropDuplicates(["id"]))
+    made = stored(made.select("id", "shingles", "counts").dropDuplicates(["id"]))
     left = made.select(F.col("id").alias("a"), F.col("shingles").alias("xs"), F.col("counts").alias("xc"))
     right = made.select(F.col("id").alias("b"), F.col("shingles").alias("ys"), F.col("counts").alias("yc"))
     return near.join(left, "a").join(right, "b").select("a", "b", "xs", "xc", "ys", "yc").mapInArrow(_overlapping, "a long, b long")
 
 
+def _alone(ids: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of the written ids that no other of them can be similar to.
+
+    A shingle that only one of them holds is in no overlap. If such shingles make up more than a fifth of a bag, the overlap with any other is below
+    0.8 of the bag, and of the union even more so.
+    """
+    num, den = SIMILAR
+    wanted = stored(nodes.join(ids, "id").select("id", "bag", "doc_id", "size"))
+    texts = attach(docs.select("doc_id", "text"), wanted.select("doc_id").distinct(), ["doc_id"], "left_semi").select("text")
+    held = texts.mapInArrow(_shingled, "bag binary, shingle long, n long").join(wanted.select("bag", "id"), "bag")
+    own = held.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.max("n").alias("n")).where(F.col("id") == F.col("last"))
+    lone = own.groupBy("id").agg(F.sum("n").alias("lone"))
+    return wanted.join(lone, "id").where(num * (F.col("size") - F.col("lone")) < den * F.col("size")).select("id")
+
+
 def _labelled(df: DataFrame, comps: DataFrame, name: str, label: str) -> DataFrame:
     known = comps.select(F.col("node").alias("_node"), F.col("comp").alias("_comp"))
     return df.join(known, F.col(name) == F.col("_node"), "left").withColumn(label, F.coalesce("_comp", name)).drop("_node", "_comp")
@@ -215,17 +238,17 @@ def _labelled(df: DataFrame, comps: DataFrame, name: str, label: str) -> DataFra
 
 def _merged(comps: DataFrame | None, found: DataFrame) -> DataFrame:
     """Labels after more links: only the classes that the links connect are labelled anew."""
-    found = written(found)
+    found = stored(found)
     if comps is None:
         return components(found)
     between = _labelled(_labelled(found, comps, "a", "ca"), comps, "b", "cb").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    between = written(between.distinct())
+    between = stored(between.distinct())
     if between.isEmpty():
         return comps
     anew = components(between)
     nodes = comps.union(anew.join(comps, "node", "left_anti").select("node", F.col("node").alias("comp")))
     target = anew.select(F.col("node").alias("_from"), F.col("comp").alias("_to"))
-    return written(nodes.join(target, nodes["comp"] == target["_from"], "left").select("node", F.coalesce("_to", "comp").alias("comp")))
+    return stored(nodes.join(target, nodes["comp"] == target["_from"], "left").select("node", F.coalesce("_to", "comp").alias("comp")))
 
 
 def _chosen(step: int):
@@ -248,20 +271,23 @@ def _classes(nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
     First every member of a bucket meets the least one. Buckets that still hold several classes go on: small ones compare all pairs across their
     classes at once, large ones those of about two members, then 16, 128 and so on to all, each time with the classes as they are by then. So a
-    large group of copies costs a few comparisons a member, and every pair that shares a bucket is compared unless its texts are linked already.
+    large group of copies costs a few comparisons a member (texts that can be shown to have no partner at all cost none), and every pair that shares a bucket is compared unless its texts are linked already.
     """
     members = nodes.select("id", F.explode("bands").alias("band"))
     leaders = members.groupBy("band").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    live = written(members.join(leaders, "band").select("band", "id", "leader", "n"))
+    live = stored(members.join(leaders, "band").select("band", "id", "leader", "n"))
     comps = _merged(None, _verified(live.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), nodes, docs))
     before = None
     for step in count(1, 3):
         own = _labelled(live.select("band", "id", "n"), comps, "id", "own")
         mixed = own.groupBy("band").agg(F.min("own").alias("_least"), F.max("own").alias("_most")).where("_least <> _most").select("band")
-        live = written(own.join(mixed, "band"))
+        live = stored(own.join(mixed, "band"))
         if live.isEmpty():
             break
-        pairs = written(_across(live, step, before).distinct())
+        if before is None:  # texts with too much of their own need no comparison
+            alone = stored(_alone(stored(live.select("id").distinct()), nodes, docs))
+            live = stored(anti(live, alone, ["id"]))
+        pairs = stored(_across(live, step, before).distinct())
         if not pairs.isEmpty():
             comps = _merged(comps, _verified(pairs, nodes, docs))
         live, before = live.where((F.col("n") > SMALL_BUCKET) & (F.col("n") >= 1 << step)), step
@@ -280,13 +306,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     modest_batches(docs)
     docs = docs.select("doc_id", "text")
-    signed = written(docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(_signed, "doc_id long, key long, bag binary, size long, bands array<bigint>"))
-    nodes = written(signed.groupBy("bag").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"), F.max("size").alias("size"), F.any_value("bands").alias("bands")).withColumn("id", F.monotonically_increasing_id()))
+    signed = stored(docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(_signed, "doc_id long, key long, bag binary, size long, bands array<bigint>"))
+    nodes = stored(signed.groupBy("bag").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"), F.max("size").alias("size"), F.any_value("bands").alias("bands")).withColumn("id", F.monotonically_increasing_id()))
     comps = _classes(nodes.where("size > 0"), docs)
     named = _labelled(nodes.select("bag", "id", "doc_id", "rows"), comps, "id", "comp")
     totals = named.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.sum("rows").alias("class_size"))
     classes = named.join(totals, "comp").select("bag", "comp", "class_id", "class_size")
-    rows = written(signed.select("doc_id", "key", "bag").join(classes, "bag"))
+    rows = stored(signed.select("doc_id", "key", "bag").join(classes, "bag"))
     # of the rows with the least doc_id of a class, the one with the least key; map-side combined, one row per class leaves a task
     first = rows.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("comp").agg(F.min("key").alias("_key"))
     return rows.join(first, "comp").select("doc_id", "key", "class_id", "class_size", (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("_key"))).alias("kept"))
@@ -295,7 +321,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs with one document of each class, the one with the least doc_id, and all columns."""
     verdict = near_duplicates(docs).groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("_n"), F.bool_or("kept").alias("_kept"))
-    gone = written(verdict.where("not _kept or _n > 1").select("doc_id", "key", F.col("_kept").alias("_stay")))
+    gone = stored(verdict.where("not _kept or _n > 1").select("doc_id", "key", F.col("_kept").alias("_stay")))
     return thinned(docs.withColumn("_key", F.xxhash64("text")), gone.withColumnRenamed("key", "_key"), ["doc_id", "_key"], docs.columns)
 
 
