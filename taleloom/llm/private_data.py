@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,10 +21,8 @@ KINDS = list(PATTERNS)
 HINTS = {"email": "@", "ip": ".", "phone": "+"}
 OCTETS = r"^0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(\.0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
 TERM = r"\p{L}++"
-#: Shorter terms are not weighed.
-TERM_LETTERS = 4
-#: An entity or a pair counts from so many different texts on; fewer say nothing about the corpus.
-SUPPORT = 3
+#: A pair of entity and term counts if fewer terms than this, as rare as the term, would stand by chance in so many of the entity's texts.
+BY_CHANCE = 1.0
 #: A term whose pointwise mutual information with an entity reaches these shares of the entity's information is generalised, or removed.
 GENERALISE, REMOVE = 0.8, 0.95
 
@@ -72,7 +72,19 @@ def base_spans(found: DataFrame) -> DataFrame:
 
 
 def _terms(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower), lambda t: F.length(t) >= TERM_LETTERS))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+
+
+def _by_chance(terms: dict[int, int], texts: int) -> Column:
+    """Log2 of how many terms of at most n_term documents would stand in t_both of an entity's t_entity texts if the different texts were independent.
+
+    terms: terms by the bits of n_term. Sets of t_both texts are bounded by the entropy of the share, which is exact if it is all of them.
+    """
+    upto = F.create_map(*(x for b in terms for x in (F.lit(b), F.lit(float(sum(n for c, n in terms.items() if c <= b))))))
+    k, m, t = F.col("t_both"), F.col("t_entity"), F.col("t_term")
+    part = lambda c: F.when(c > 0, c * F.log2(c)).otherwise(0.0)
+    held = F.log2(t / texts) + (k - 1) * F.log2((t - 1) / max(texts - 1, 1))
+    return F.log2(F.element_at(upto, F.length(F.bin("n_term")))) + held + part(m) - part(k) - part(m - k)
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, spans: DataFrame) -> DataFrame:
@@ -80,27 +92,35 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, spans: DataFrame) -> Dat
 
     An entity is a value found by the patterns. From how many documents hold the entity, the term, and both, the term's pointwise mutual
     information with the entity is set against the entity's own information: the ratio is 1 if the term never occurs without the entity. All
-    documents count for the frequencies; SUPPORT different texts must hold the pair, so copies of one text give nothing away.
+    documents count for the frequencies. Copies of one text give nothing away, as every rare word of it is tied to the entity alike: from the
+    second different text on, a pair counts unless such pairs are to be expected by chance.
     """
     value = F.when(F.col("kind") == "email", F.lower("value")).when(F.col("kind") == "ip", F.col("value")).otherwise(_digits(F.col("value")))
     held = written(spans.select("_row", "_key", F.concat_ws(":", "kind", value).alias("entity")).distinct())
     texts = held.groupBy("entity", "_key").agg(F.count(F.lit(1)).alias("n"))
-    entities = written(texts.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count(F.lit(1)).alias("_t")).where(F.col("_t") >= SUPPORT).drop("_t"))
+    entities = texts.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count(F.lit(1)).alias("t_entity"))
+    entities = written(entities.where(F.col("t_entity") > 1))
     known = attach(held, entities, ["entity"], "inner")
-    of_row = known.groupBy("_row", "_key").agg(F.collect_list(F.struct("entity", "n_entity")).alias("_e"))
+    of_row = known.groupBy("_row", "_key").agg(F.collect_list(F.struct("entity", "n_entity", "t_entity")).alias("_e"))
     both = found.where(F.col("_doc").isNotNull()).select("_row", _terms(F.col("_doc.text")).alias("_terms")).join(of_row, "_row")
     pairs = both.select("_row", "_key", F.explode("_e").alias("_x"), "_terms").select("_row", "_key", "_x.*", F.explode("_terms").alias("term"))
-    per_text = pairs.groupBy("entity", "n_entity", "term", "_key").agg(F.count(F.lit(1)).alias("n"))
-    together = per_text.groupBy("entity", "n_entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("_t"))
-    together = written(together.where(F.col("_t") >= SUPPORT))
-    terms = written(together.select("term").distinct())
-    all_terms = docs.select(F.explode(_terms(F.coalesce(F.col("text"), F.lit("")))).alias("term"))
-    frequency = attach(all_terms, terms, ["term"], "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    per_text = pairs.groupBy("entity", "n_entity", "t_entity", "term", "_key").agg(F.count(F.lit(1)).alias("n"))
+    together = per_text.groupBy("entity", "n_entity", "t_entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("t_both"))
+    together = together.where(F.col("t_both") > 1)
+    all_terms = docs.select(F.xxhash64("text").alias("_key"), F.explode(_terms(F.coalesce(F.col("text"), F.lit("")))).alias("term"))
+    frequency = written(all_terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).where(F.col("n_term") > 1))
     total = found.count()
     told = F.log2(F.lit(float(total)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
     own = F.log2(F.lit(float(total)) / F.col("n_entity"))
     ratios = together.join(frequency, "term").withColumn("ratio", F.when(own > 0, told / own).otherwise(0.0))
-    exceeding = written(ratios.where(F.col("ratio") >= GENERALISE).select("entity", "term", "ratio"))
+    exceeding = written(ratios.where(F.col("ratio") >= GENERALISE))
+    sizes = {r[0]: r[1] for r in frequency.groupBy(F.length(F.bin("n_term"))).count().collect()}  # a row for each power of two
+    if sizes:
+        apart = attach(all_terms, written(exceeding.select("term").distinct()), ["term"], "left_semi").groupBy("term", "_key").agg(F.count(F.lit(1)))
+        apart = apart.groupBy("term").agg(F.count(F.lit(1)).alias("t_term"))
+        different = found.select("_key").distinct().count()
+        exceeding = written(exceeding.join(apart, "term").where(_by_chance(sizes, different) < math.log2(BY_CHANCE)))
+    exceeding = exceeding.select("entity", "term", "ratio")
     return attach(pairs.select("_row", "entity", "term"), exceeding, ["entity", "term"], "inner").groupBy("_row", "term").agg(F.max("ratio").alias("ratio"))
 
 

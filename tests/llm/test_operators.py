@@ -398,3 +398,33 @@ def test_terms_that_give_an_entity_away(docs):
     assert len(out) == len(rows) and not any("Zanzibarian" in r.text or "@" in r.text for r in out) and sum("[EMAIL]" in r.text for r in out) == 6
     assert all(r.n_chars == len(r.text) for r in out if r.doc_id >= 100) and {r.text for r in out if r.doc_id < 100} == {t for i, t in rows if i < 100}
     assert private_data.sanitised(docs([])).count() == 0
+
+
+def test_short_terms_and_entities_of_two_texts(docs):
+    plain = _noise(25, 80)
+    named = [f"{t} Kim writes from bob@example.org and" for t in plain[:2]] + [f"{t} Ana Li calls +44 20 7946 0958 and" for t in plain[2:5]]
+    once = [f"{t} Zoe writes from zoe@example.net and" for t in plain[5:6]]
+    # words of few texts that fall together by chance do not belong to an address: each of these stands in two texts, one of them an address's own
+    rare = lambda i: " ".join(f"{chr(97 + k)}{chr(97 + i % 26)}{chr(97 + i // 26)}q" for k in range(20))
+    rows = [(i, f"{t} {rare(i // 2)} writes from calls and") for i, t in enumerate(plain[8:])] + [(100 + i, t) for i, t in enumerate(named)] + [(200, once[0]), (200, once[0])]
+    rows += [(300, f"{plain[6]} {rare(0)} from dan@example.com"), (301, f"{plain[7]} {rare(1)} from dan@example.com")]
+    got = private_data.private_data(docs(rows)).collect()
+    text = dict(rows)
+    terms = {i: {text[i][int(a) : int(b)] for s in r.spans.split(",") if s.startswith("term") for _, a, b in [s.split(":")]} for r in got for i in [r.doc_id]}
+    assert all(terms[i] == {"Kim"} for i in (100, 101)) and all(terms[i] == {"Ana", "Li"} for i in (102, 103, 104))
+    assert not any(terms[i] for i in terms if i not in range(100, 105))
+    assert not any(re.search(r"\b(Kim|Ana|Li)\b", r.text) for r in private_data.sanitised(docs(rows)).collect())
+
+
+def test_terms_that_fall_together_by_chance(docs):
+    # two different texts of one address in a small corpus of rare words: a term of both says nothing where such pairs are common
+    rng = random.Random(30)
+    letters = [f"{a}{b}z" for a in "abcdefghijklmnopqrst" for b in "abcdefghij"]
+    rows = [(i, " ".join(rng.sample(letters, 20))) for i in range(16)]
+    rows = [(i, t + (" kay@example.org" if i < 2 else "")) for i, t in rows]
+    got = private_data.private_data(docs(rows)).collect()
+    assert "qhz" in rows[0][1] and "qhz" in rows[1][1] and not any("term" in r.spans for r in got)
+    # a name of two texts, one of them in many copies, is not chance: copies are one text
+    rows = [(i, " ".join(rng.sample(letters, 20)) + (" Kay kay@example.org" if i < 2 else "")) for i in range(300)]
+    got = private_data.private_data(docs(rows + [(1000, rows[0][1])] * 60)).collect()
+    assert all(("term" in r.spans) == (r.doc_id in (0, 1, 1000)) for r in got) and len(got) == 360
