@@ -71,6 +71,11 @@ def _bucket(rate: str) -> Column:
     return F.expr(f"shiftleft(shiftright({rate}, {over}), {over})")
 
 
+def _upper(bucket: str) -> Column:
+    """The highest rate of a bucket."""
+    return F.expr(f"{bucket} + shiftleft(1L, greatest(length(bin({bucket})) - {SKETCH_BITS}, 0)) - 1")
+
+
 def sketches(counts: DataFrame) -> DataFrame:
     """Quantile sketches of the rates: documents per (lang, source, rate, bucket). Sketches of any parts of a corpus merge by adding counts.
 
@@ -82,14 +87,18 @@ def sketches(counts: DataFrame) -> DataFrame:
 
 
 def _fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """A threshold per key and rate, from the quartiles of the merged sketch. A key has at most some hundred buckets."""
+    """A threshold per key and rate, from the quartiles of the merged sketch. A key has at most some hundred buckets.
+
+    Quartiles are upper edges of their buckets, as thresholds are compared with exact rates: what lies in the bucket of the upper quartile is no outlier.
+    """
     merged = sketch.groupBy(*keys, "rate", "bucket").agg(F.sum("n").alias("n"))
     by = Window.partitionBy(*keys, "rate")
     run = merged.withColumns({"below": F.sum("n").over(by.orderBy("bucket")), "docs": F.sum("n").over(by)})
     quartiles = run.groupBy(*keys, "rate").agg(
         F.max("docs").alias("docs"), *(F.min(F.when(F.col("below") * 4 >= F.col("docs") * k, F.col("bucket"))).alias(f"q{k}") for k in (1, 3))
     )
-    return quartiles.select(*keys, "rate", "docs", (F.col("q3") + REACH * (F.col("q3") - F.col("q1"))).alias("fence"))
+    q1, q3 = _upper("q1"), _upper("q3")
+    return quartiles.select(*keys, "rate", "docs", (q3 + REACH * (q3 - q1)).alias("fence"))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:

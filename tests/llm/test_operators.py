@@ -277,6 +277,17 @@ def test_quality_counts_and_junk(docs):
     assert quality.quality(docs([])).count() == 0 and quality.drop_low_quality(docs([])).count() == 0
 
 
+def test_quality_keeps_a_homogeneous_source_above_the_floor(docs):
+    # symbol rate 1000 * 20 / 303 = 66, in the bucket of 64 to 67; word length 12,500 in the bucket of 12,288 to 12,799
+    symbols = [(1000 + i, " ".join(f"{i:03}{k:02}" for k in range(52)) + " " + "#" * 20 + " abcdefghijklmnopqrstuvw") for i in range(120)]
+    junk = [(2000, symbols[0][1].replace(" ", "# "))]
+    got = {r.doc_id: r for r in quality.quality(docs(symbols + junk, extra=False)).collect()}
+    assert all(got[i].symbol_rate == 66 and got[i].kept for i, _ in symbols) and not got[2000].kept
+    long = [(1000 + i, " ".join(f"{i:03}{k:02}" + "x" * (7 + k % 2) for k in range(60))) for i in range(120)]
+    got = quality.quality(docs(long, extra=False)).collect()
+    assert all(r.length_rate == 12_500 and r.kept for r in got)
+
+
 # --- word table --------------------------------------------------------------------------------------------------
 
 
