@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from taleloom.plans.registry import Query
 
-from . import chat, exact_dedup, near_dedup, packing, private_data, quality, sharding, suffix_dedup, token_counts, word_table
+from . import chat, exact_dedup, near_dedup, packing, periodic_runs, private_data, quality, sharding, suffix_dedup, token_counts, word_table
 
 QUERIES = {
     "op1_feistel_shards": Query(sharding.op1_feistel_shards),
@@ -17,4 +17,5 @@ QUERIES = {
     "op9_bag_min_hash": Query(near_dedup.op9_bag_min_hash),
     "op10_disclosure": Query(private_data.op10_disclosure),
     "op5_prefix_targets": Query(chat.op5_prefix_targets),
+    "op13_periodic_runs": Query(periodic_runs.op13_periodic_runs),
 }
