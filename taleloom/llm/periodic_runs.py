@@ -182,7 +182,9 @@ def rewritten(doc_id: Column, text: Column) -> Column:
         p = 1 + F.floor((n - a) / (3 + g % 8)).cast("long")
         return F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + (i - a) % p).cast("int"))))
 
-    return F.when((h % 10 == 0) & (F.size(words) > 0), F.array_join(repeated(words), " ")).otherwise(text)
+    # the words as a variable of a lambda are made once, not once for each word
+    once = F.get(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, F.array_join(repeated(w), " ")).otherwise("")), F.lit(0))
+    return F.when(h % 10 == 0, once).otherwise(text)
 
 
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
