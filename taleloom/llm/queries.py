@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from taleloom.plans.registry import Query
 
-from . import chat, exact_dedup, near_dedup, packing, periodic_runs, prefix_trie, private_data, quality, sharding, suffix_dedup, token_counts, word_table
+from . import chat, exact_dedup, jaccard_join, near_dedup, packing, periodic_runs, prefix_trie, private_data, quality, sharding, suffix_dedup, token_counts, word_table
 
 QUERIES = {
     "op1_feistel_shards": Query(sharding.op1_feistel_shards),
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_bag_min_hash": Query(near_dedup.op9_bag_min_hash),
     "op10_disclosure": Query(private_data.op10_disclosure),
     "op5_prefix_targets": Query(chat.op5_prefix_targets),
+    "op11_jaccard_join": Query(jaccard_join.op11_jaccard_join),
     "op12_prefix_trie": Query(prefix_trie.op12_prefix_trie, prefix_trie.OP12_SQL),
     "op13_periodic_runs": Query(periodic_runs.op13_periodic_runs),
 }
