@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import on_group, opened, sliced, squeezed
+from .classes import _chosen, _labelled, _merged
 from .common import modest_batches, stored, table
-from .near_dedup import _chosen, _labelled, _merged, _mix, _step, bags
+from .shingles import _mix, _step, bags
 
 #: Two sets are linked if 9 * (intersection) >= 4 * (sum of sizes), which is 5 * intersection >= 4 * union: a distance of 0.2 at most.
 LINKED = (9, 4)
@@ -210,20 +211,19 @@ def linked_classes(nodes: DataFrame, comps: DataFrame | None = None) -> DataFram
     allow a link, and its distances to the region's pivot differ by the radius at most. comps are classes that are known already.
     """
     members = nodes.select("id", "size", "alone", "elements").mapInArrow(_regions, "region long, id long, size long, rank long")
-    heads = members.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rank", "id", "size")).alias("pivot")).where("n > 1")
-    live = stored(members.join(heads, "region"))
+    members = members.withColumn("own", F.col("id")) if comps is None else _labelled(members, comps, "id", "own")
+    heads = members.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("own").alias("_low"), F.max("own").alias("_high"), F.min(F.struct("rank", "id", "size", "own")).alias("pivot"))
+    live = stored(members.join(heads.where("_low <> _high").drop("_low", "_high"), "region"))
     col = F.col
-    first = live.where((col("id") != col("pivot.id")) & _possible(col("size"), col("rank"), col("pivot.size"), col("pivot.rank")))
+    first = live.where((col("own") != col("pivot.own")) & _possible(col("size"), col("rank"), col("pivot.size"), col("pivot.rank")))
     met = _distances(first.select(col("id").alias("a"), col("pivot.id").alias("b")).distinct(), nodes)
     links = met.where("linked").select("a", "b")
-    if comps is None and links.isEmpty():
-        pass
-    else:
-        comps = _merged(comps, links) if not links.isEmpty() else comps
+    if not links.isEmpty():
+        comps = _merged(comps, links)
     far = met.select(col("a").alias("id"), col("b").alias("_b"), "distance")
     live = live.withColumn("_b", col("pivot.id")).join(far, ["id", "_b"], "left").select("region", "id", "size", "rank", "n", F.when(col("id") == col("_b"), 0.0).otherwise(col("distance")).alias("away"))
     before = None
-    for step in count(1, 3):
+    for step in count(4, 6):  # 16 pivots, 1024, 65536, ...
         own = live.select("region", "id", "size", "rank", "n", "away")
         own = own.withColumn("own", col("id")) if comps is None else _labelled(own, comps, "id", "own")
         mixed = own.groupBy("region").agg(F.min("own").alias("_low"), F.max("own").alias("_high")).where("_low <> _high").select("region")

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, partial
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -12,77 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import sliced
-from .common import anti, attach, modest_batches, stored, table, thinned
+from .classes import _labelled, _merged
+from .common import attach, modest_batches, stored, table, thinned
+from .jaccard_join import linked_classes, shared_sets
+from .shingles import _mix, _step, bags
 
-WORDS = 5
 BANDS, ROWS = 32, 6
 #: Two texts are linked if 5 * (overlap) >= 4 * (union): similarity of 0.8 or more.
 SIMILAR = (5, 4)
 SLICE = 1 << 20
-#: Buckets of up to so many texts are compared whole at once; larger ones from a few members, then more, up to all.
-SMALL_BUCKET = 48
-
-_GOLDEN = 0x9E3779B97F4A7C15
-_BASE = 0x5851F42D4C957F2D
-
-
-def _step(k: int) -> np.uint64:
-    return np.uint64(k * _GOLDEN & 0xFFFFFFFFFFFFFFFF)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    up = np.full(n, _BASE, np.uint64)
-    down = np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-
-
-def _word_hashes(data: np.ndarray, starts_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and position of each word (a run of bytes other than white space) in texts that begin at starts_at in the joined bytes."""
-    gap = (data == 32) | ((data >= 9) & (data <= 13))
-    before = np.concatenate(([True], gap[:-1]))
-    before[starts_at[starts_at < len(data)]] = True
-    begin = np.flatnonzero(~gap & before)
-    after = np.concatenate((gap[1:], [True]))
-    ends = starts_at[(starts_at > 0) & (starts_at <= len(data))] - 1
-    after[ends] = True
-    end = np.flatnonzero(~gap & after) + 1
-    room = 1 << max(20, int(len(data)).bit_length())
-    up, down = _powers(room)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64)))
-    return _mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64) * _step(1)), begin
-
-
-def bags(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shingles of texts as (text number, hash, count), sorted. A text of one to four words has one shingle, of all its words."""
-    lengths = np.array([len(t) for t in texts], np.int64)
-    starts = np.cumsum(lengths) - lengths
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    hashes, at = _word_hashes(data, starts) if len(data) else (np.empty(0, np.uint64), np.empty(0, np.int64))
-    text = np.searchsorted(starts + lengths, at, side="right")
-    odd = [_step(2 * k + 1) for k in range(WORDS)]
-    n = max(0, len(hashes) - WORDS + 1)
-    whole = text[:n] == text[WORDS - 1 :] if n else np.empty(0, bool)
-    shingle = _mix(sum((hashes[k : k + n] * odd[k] for k in range(WORDS)), np.zeros(n, np.uint64)))[whole]
-    owner = text[:n][whole]
-    words = np.bincount(text, minlength=len(texts))
-    short = np.flatnonzero((words > 0) & (words < WORDS))
-    if len(short):
-        first = np.searchsorted(text, short)
-        made = [int(_mix(np.add.reduce(hashes[f : f + w] * np.array(odd[:w], np.uint64), keepdims=True) + np.uint64(w))[0]) for f, w in zip(first.tolist(), words[short].tolist(), strict=True)]
-        shingle, owner = np.concatenate((shingle, np.array(made, np.uint64))), np.concatenate((owner, short))
-    order = np.lexsort((shingle, owner))
-    shingle, owner = shingle[order], owner[order]
-    new = np.flatnonzero(np.concatenate(([True], (shingle[1:] != shingle[:-1]) | (owner[1:] != owner[:-1])))) if len(shingle) else np.empty(0, np.int64)
-    return owner[new], shingle[new], np.diff(np.append(new, len(shingle)))
 
 
 def bag_min_hash(owner: np.ndarray, shingle: np.ndarray, count: np.ndarray, texts: int, m: int) -> np.ndarray:
@@ -160,14 +96,6 @@ def _bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], names=["bag", "shingles", "counts"])
 
 
-def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text) -> (bag, shingle, n), a row per shingle."""
-    for batch in _bagged(batches):
-        for bag, shingles, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            shingle = pa.array(np.frombuffer(shingles, np.int64))
-            yield pa.record_batch([pa.array([bag] * len(shingle), pa.binary()), shingle, pa.array(np.frombuffer(counts, "<u4").astype(np.int64))], names=["bag", "shingle", "n"])
-
-
 def _overlapping(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs with both bags -> the pairs that are similar by exact multiset overlap."""
     num, den = SIMILAR
@@ -182,21 +110,6 @@ def _overlapping(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) of the nodes in written edges (a, b): comp is the least node that is connected. Labels go over the edges and then jump to their labels'
-    labels, so long chains settle in few rounds; each round is written."""
-    both = edges.select("a", "b").union(edges.select("b", "a"))
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")))
-    while True:
-        heard = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("heard"))
-        nearer = labels.join(heard, labels["node"] == heard["a"]).select("node", "comp", F.least("comp", "heard").alias("next"))
-        onward = labels.select(F.col("node").alias("_n"), F.col("comp").alias("_c"))
-        jumped = stored(nearer.join(onward, nearer["next"] == onward["_n"], "left").select("node", F.coalesce(F.least("next", "_c"), "next").alias("comp"), F.col("comp").alias("was")))
-        labels = jumped.select("node", "comp")
-        if jumped.where("comp <> was").isEmpty():
-            return labels
-
-
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes that are similar. Sizes are compared first; then the shingles of the bags named by the pairs are made from one
     text each, and go to the pairs in two joins."""
@@ -216,82 +129,27 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return near.join(left, "a").join(right, "b").select("a", "b", "xs", "xc", "ys", "yc").mapInArrow(_overlapping, "a long, b long")
 
 
-def _alone(ids: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the written ids that no other of them can be similar to.
+def _classes(nodes: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """(node, comp) of the nodes that are linked to another; None without any link.
 
-    A shingle that only one of them holds is in no overlap. If such shingles make up more than a fifth of a bag, the overlap with any other is below
-    0.8 of the bag, and of the union even more so.
-    """
-    num, den = SIMILAR
-    wanted = stored(nodes.join(ids, "id").select("id", "bag", "doc_id", "size"))
-    texts = attach(docs.select("doc_id", "text"), wanted.select("doc_id").distinct(), ["doc_id"], "left_semi").select("text")
-    held = texts.mapInArrow(_shingled, "bag binary, shingle long, n long").join(wanted.select("bag", "id"), "bag")
-    own = held.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.max("n").alias("n")).where(F.col("id") == F.col("last"))
-    lone = own.groupBy("id").agg(F.sum("n").alias("lone"))
-    return wanted.join(lone, "id").where(num * (F.col("size") - F.col("lone")) < den * F.col("size")).select("id")
-
-
-def _labelled(df: DataFrame, comps: DataFrame, name: str, label: str) -> DataFrame:
-    known = comps.select(F.col("node").alias("_node"), F.col("comp").alias("_comp"))
-    return df.join(known, F.col(name) == F.col("_node"), "left").withColumn(label, F.coalesce("_comp", name)).drop("_node", "_comp")
-
-
-def _merged(comps: DataFrame | None, found: DataFrame) -> DataFrame:
-    """Labels after more links: only the classes that the links connect are labelled anew."""
-    found = stored(found)
-    if comps is None:
-        return components(found)
-    between = _labelled(_labelled(found, comps, "a", "ca"), comps, "b", "cb").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    between = stored(between.distinct())
-    if between.isEmpty():
-        return comps
-    anew = components(between)
-    nodes = comps.union(anew.join(comps, "node", "left_anti").select("node", F.col("node").alias("comp")))
-    target = anew.select(F.col("node").alias("_from"), F.col("comp").alias("_to"))
-    return stored(nodes.join(target, nodes["comp"] == target["_from"], "left").select("node", F.coalesce("_to", "comp").alias("comp")))
-
-
-def _chosen(step: int):
-    """Some 2 ** step members of each bucket of n members, or all; those of a smaller step are among them."""
-    return F.expr(f"pmod(xxhash64(id), shiftleft(1L, greatest(length(bin(n)) - {step}, 0))) = 0")
-
-
-def _across(live: DataFrame, step: int, before: int | None) -> DataFrame:
-    """Pairs of a bucket's chosen members with members of other classes, but for the pairs of an earlier call."""
-    tried = F.lit(False) if before is None else _chosen(before)
-    small = (F.col("n") <= SMALL_BUCKET) if before is None else F.lit(False)
-    x = live.withColumns({"pick": small | _chosen(step), "tried": tried})
-    p = x.where("pick").select("band", F.col("id").alias("a"), F.col("own").alias("ca"), F.col("tried").alias("ta"))
-    m = x.select("band", F.col("id").alias("b"), F.col("own").alias("cb"), F.col("tried").alias("tb"), F.col("pick").alias("pb"))
-    return p.join(m, "band").where("ca <> cb and not (ta and tb) and (a > b or not pb)").select("a", "b")
-
-
-def _classes(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, comp) of the nodes that are linked to another.
-
-    First every member of a bucket meets the least one. Buckets that still hold several classes go on: small ones compare all pairs across their
-    classes at once, large ones those of about two members, then 16, 128 and so on to all, each time with the classes as they are by then. So a
-    large group of copies costs a few comparisons a member (texts that can be shown to have no partner at all cost none), and every pair that shares a bucket is compared unless its texts are linked already.
+    First every member of a bucket meets the least one. What stays apart in a bucket then goes through the exact join of bags: there a text meets only
+    those that hold one of its rarest shingles, so texts with too much of their own meet nobody, and a large group of copies costs a few
+    comparisons a member. No pair that shares a bucket is lost.
     """
     members = nodes.select("id", F.explode("bands").alias("band"))
     leaders = members.groupBy("band").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    live = stored(members.join(leaders, "band").select("band", "id", "leader", "n"))
-    comps = _merged(None, _verified(live.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), nodes, docs))
-    before = None
-    for step in count(1, 3):
-        own = _labelled(live.select("band", "id", "n"), comps, "id", "own")
-        mixed = own.groupBy("band").agg(F.min("own").alias("_least"), F.max("own").alias("_most")).where("_least <> _most").select("band")
-        live = stored(own.join(mixed, "band"))
-        if live.isEmpty():
-            break
-        if before is None:  # texts with too much of their own need no comparison
-            alone = stored(_alone(stored(live.select("id").distinct()), nodes, docs))
-            live = stored(anti(live, alone, ["id"]))
-        pairs = stored(_across(live, step, before).distinct())
-        if not pairs.isEmpty():
-            comps = _merged(comps, _verified(pairs, nodes, docs))
-        live, before = live.where((F.col("n") > SMALL_BUCKET) & (F.col("n") >= 1 << step)), step
-    return comps
+    live = stored(members.join(leaders, "band").select("band", "id", "leader"))
+    found = stored(_verified(live.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), nodes, docs))
+    comps = None if found.isEmpty() else _merged(None, found)
+    own = live.withColumn("own", F.col("id")) if comps is None else _labelled(live, comps, "id", "own")
+    mixed = own.groupBy("band").agg(F.min("own").alias("_least"), F.max("own").alias("_most")).where("_least <> _most").select("band")
+    apart = stored(nodes.join(live.join(mixed, "band").select("id").distinct(), "id").select("id", "bag", "doc_id", "size"))
+    total = apart.agg(F.sum("size")).first()[0]
+    if total is None:
+        return comps
+    texts = attach(docs.select("doc_id", "text"), stored(apart.select("doc_id").distinct()), ["doc_id"], "left_semi")
+    sets = shared_sets(texts, total, lower=False, multiset=True).withColumnRenamed("name", "bag")
+    return linked_classes(stored(sets.join(apart.select("bag", "id"), "bag").drop("bag")), comps)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -300,8 +158,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Two texts are linked if the multisets of their five-word shingles overlap by 0.8 or more of their union; classes are connected through links,
     class_id is the least doc_id in the class, and one row of it is kept. Words are runs of characters other than ASCII white space. Texts with
     equal multisets are one node (texts without words, and null, among them), so copies are not compared. Bands only propose pairs: in each
-    bucket all members meet the least one; what stays apart is compared on, until a bucket is one class or all pairs across its classes have been
-    compared. A pair of similarity 0.8 shares no band with probability 6e-5.
+    bucket all members meet the least one; what stays apart is joined exactly by its rarest shingles. A pair of similarity 0.8 shares no band with probability 6e-5.
     key is a hash of the text; repeated rows stay rows.
     """
     modest_batches(docs)
@@ -309,7 +166,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = stored(docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(_signed, "doc_id long, key long, bag binary, size long, bands array<bigint>"))
     nodes = stored(signed.groupBy("bag").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"), F.max("size").alias("size"), F.any_value("bands").alias("bands")).withColumn("id", F.monotonically_increasing_id()))
     comps = _classes(nodes.where("size > 0"), docs)
-    named = _labelled(nodes.select("bag", "id", "doc_id", "rows"), comps, "id", "comp")
+    own = nodes.select("bag", "id", "doc_id", "rows")
+    named = own.withColumn("comp", F.col("id")) if comps is None else _labelled(own, comps, "id", "comp")
     totals = named.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.sum("rows").alias("class_size"))
     classes = named.join(totals, "comp").select("bag", "comp", "class_id", "class_size")
     rows = stored(signed.select("doc_id", "key", "bag").join(classes, "bag"))

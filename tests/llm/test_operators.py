@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from taleloom.llm import chat, exact_dedup, near_dedup, packing, private_data, quality, sharding, suffix_dedup, token_counts, word_table
+from taleloom.llm import chat, exact_dedup, jaccard_join, near_dedup, packing, private_data, quality, sharding, suffix_dedup, token_counts, word_table
 
 from .conftest import ODD
 
@@ -335,7 +335,7 @@ def _classes(rows):
 
 
 def test_near_classes_match_brute_force(docs, monkeypatch):
-    monkeypatch.setattr(near_dedup, "SMALL_BUCKET", 5)
+    monkeypatch.setattr(jaccard_join, "SMALL_REGION", 5)
     rng = random.Random(11)
     base = _noise(12, 1, 150, 150)[0].split()
     rows = list(ODD)
