@@ -185,21 +185,24 @@ def greedy_chain(
     after the last row of row i's block) and returns, per row, the index of the last row of the window that would start
     there and the index of the next window's first row, `stop[i]` meaning that the pass ends. `max_jump` bounds how far
     both may lie from the start; a window that reaches further raises an error, so no row is lost. Keys of any length go
-    the same way: tables of entries and exits per block. Returns (keys, first, last) per window.
+    the same way: windows of first blocks at once, then tables of entries and exits per later block, composed in log
+    rounds. Returns (keys, first, last) per window.
     """
     keys = list(keys)
     group = [*keys, _BLOCK]
     # one row more than the bound: a window that meets the end of a full look-ahead has passed the bound
     block = max(block, max_jump + 1)
     need = with_halo(df.select(*keys, F.col(pos).cast("long").alias("__pos"), *values), "__pos", 0, max_jump + 1, block)
-    need = need.repartition(*group).sortWithinPartitions(*group, "__pos")
     key_fields = [df.schema[k] for k in keys]
-    jumps_schema = T.StructType(
-        [*key_fields, T.StructField(_BLOCK, T.LongType()), T.StructField("__pos", T.LongType()),
-         T.StructField("__next", T.LongType()), T.StructField("__last", T.LongType())]
-    )
+    fields = [*key_fields, *(T.StructField(c, T.LongType()) for c in (_BLOCK, "__pos", "__next", "__last", "__kind"))]
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        """Rows of a (key, block) together and in order, in as many tasks as a shuffle has: few bytes may be much work."""
+        n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return rows.repartition(n, *group).sortWithinPartitions(*group, "__pos")
 
     def jumps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Kind 0: a window of a first block, kind 1: where such a block is left, kind 2: a row of a later block."""
         for pdf in _by_group(batches, group):
             edges = _group_edges(pdf, group)
             p = pdf["__pos"].to_numpy()
@@ -210,69 +213,71 @@ def greedy_chain(
             ahead = np.add.reduceat(~own, edges[:-1], dtype=np.int64)
             if (own & (follow >= stop) & (np.repeat(ahead, np.diff(edges)) > max_jump)).any():
                 raise ValueError(f"a window reaches further than max_jump={max_jump} rows")
-            out = pdf[group + ["__pos"]].assign(
-                __next=np.where(follow < stop, follow + here, -1), __last=end + here
-            )
-            yield out[pdf[_OWN].to_numpy()]
-
-    jump_rows = need.mapInPandas(jumps, jumps_schema)
-
-    entry_field = T.StructField("__entry", T.LongType())
-    jump_rows = cut_lineage(jump_rows)
-    exits_schema = T.StructType(
-        [*key_fields, T.StructField(_BLOCK, T.LongType()), T.StructField("entries", T.ArrayType(T.LongType())),
-         T.StructField("exits", T.ArrayType(T.LongType()))]
-    )
+            first = pdf[_BLOCK].to_numpy()[edges[:-1]] == 0
+            # a pass over a first block begins at its first row, so its windows are known at once
+            chosen, left = _walk(follow, edges[:-1][first], edges[:-1][first] + (np.diff(edges) - ahead)[first])
+            kind = np.where(own & ~np.repeat(first, np.diff(edges)), 2, -1)
+            kind[chosen] = 0
+            out = pdf[[*group, "__pos"]].assign(__next=np.where(follow < stop, follow + here, -1), __last=end + here, __kind=kind)
+            yield out[kind >= 0]
+            yield out.iloc[left].assign(__kind=1)
+
+    moved = cut_lineage(dealt(need).mapInPandas(jumps, T.StructType(fields)))
+    windows = moved.where("__kind = 0").select(*keys, F.col("__pos").alias("first"), F.col("__last").alias("last"))
+    last_block = moved.where("__kind = 2").agg(F.max(_BLOCK)).first()[0]
+    if last_block is None:
+        return windows
+    later = moved.where("__kind = 2").select(*group, "__pos", "__next", "__last")
 
     def exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Where the pass leaves a block, for each row of it that may come first."""
         for pdf in _by_group(batches, group):
             edges = _group_edges(pdf, group)
-            rows = []
-            for a, b in zip(edges[:-1], edges[1:]):
-                p, nx = pdf["__pos"].to_numpy()[a:b], pdf["__next"].to_numpy()[a:b].copy()
-                while True:
-                    inside = (nx >= 0) & (nx <= p[-1])
-                    if not inside.any():
-                        break
-                    nx[inside] = nx[nx[inside] - p[0]]
-                n = min(max_jump, b - a)
-                rows.append((*pdf.iloc[a][group], p[:n].tolist(), nx[:n].tolist()))
-            yield pd.DataFrame(rows, columns=[*group, "entries", "exits"])
-
-    blocks = jump_rows.repartition(*group).sortWithinPartitions(*group, "__pos").mapInPandas(exits, exits_schema)
-    entry_schema = T.StructType([*key_fields, T.StructField(_BLOCK, T.LongType()), entry_field])
-
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        at, rows = 0, []
-        for r in pdf.sort_values(_BLOCK).to_dict("records"):
-            if at < 0:
-                break
-            if at < r["entries"][0] or at >= r["entries"][0] + block:
-                continue
-            rows.append((*[r[g] for g in group], at))
-            at = int(r["exits"][list(r["entries"]).index(at)])
-        return pd.DataFrame(rows, columns=[*group, "__entry"])
-
-    entries = blocks.groupBy(*keys).applyInPandas(compose, entry_schema)
-    jump_rows = jump_rows.join(entries, group)
-
-    heads_schema = T.StructType(
-        [*key_fields, T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]
-    )
+            size = np.diff(edges)
+            p, nx = pdf["__pos"].to_numpy(), pdf["__next"].to_numpy()
+            i = np.arange(len(p))
+            to = np.where((nx >= 0) & (nx <= np.repeat(p[edges[1:] - 1], size)), i + nx - p, i)
+            while (to[to] != to).any():
+                to = to[to]
+            out = pdf[keys].assign(at=p, to=nx[to])
+            yield out[i - np.repeat(edges[:-1], size) < max_jump]
+
+    # a table from entry to exit per block; tables of neighbouring blocks compose, so twice as many blocks are passed in each round
+    at = T.StructType([*key_fields, T.StructField("at", T.LongType()), T.StructField("to", T.LongType())])
+    leap = cut_lineage(dealt(later).mapInPandas(exits, at))
+    entries = cut_lineage(moved.where("__kind = 1 and __next >= 0").select(*keys, F.col("__next").alias("at")))
+    passed = 1
+    while True:
+        onward = entries.join(leap, [*keys, "at"]).where("to >= 0").select(*keys, F.col("to").alias("at"))
+        entries = cut_lineage(entries.unionByName(onward))
+        passed *= 2
+        if passed > last_block:
+            break
+        second = leap.select(*keys, F.col("at").alias("to"), F.col("to").alias("__to"))
+        leap = cut_lineage(leap.where("to >= 0").join(second, [*keys, "to"]).select(*keys, "at", F.col("__to").alias("to")))
+    entered = later.join(entries.select(*keys, F.floor(F.col("at") / block).alias(_BLOCK), F.col("at").alias("__entry")), group)
 
     def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _by_group(batches, group):
             edges = _group_edges(pdf, group)
-            nxt, p, entry = pdf["__next"].to_numpy(), pdf["__pos"].to_numpy(), pdf["__entry"].to_numpy()
-            chosen: list[int] = []
-            for a, b in zip(edges[:-1], edges[1:]):
-                base, at = int(p[a]), int(entry[a])
-                step, end = nxt[a:b].tolist(), int(p[b - 1])
-                while 0 <= at <= end:
-                    chosen.append(a + at - base)
-                    at = step[at - base]
+            p, nx, entry = (pdf[c].to_numpy() for c in ("__pos", "__next", "__entry"))
+            follow = np.where(nx >= 0, np.arange(len(p)) + nx - p, len(p))
+            chosen, _ = _walk(follow, edges[:-1] + entry[edges[:-1]] - p[edges[:-1]], edges[1:])
             out = pdf.iloc[chosen]
             yield out[keys].assign(first=out["__pos"].to_numpy(), last=out["__last"].to_numpy())
 
-    ready = jump_rows.repartition(*group).sortWithinPartitions(*group, "__pos")
-    return ready.mapInPandas(heads, heads_schema)
+    rest = dealt(entered).mapInPandas(heads, windows.schema)
+    return windows.unionByName(rest)
+
+
+def _walk(follow: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that are passed from each start on until its stop, all starts at a time, and the last row of each way."""
+    ways, last = [np.empty(0, np.int64)], start.copy()
+    at, way = start, np.arange(len(start))
+    while len(at):
+        ways.append(at)
+        last[way] = at
+        at = follow[at]
+        inside = at < stop[way]
+        at, way = at[inside], way[inside]
+    return np.sort(np.concatenate(ways)), last
