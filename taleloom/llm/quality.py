@@ -149,11 +149,14 @@ def _sql() -> str:
     bucket = lambda v: f"(({v} >> greatest(length(bin({v})) - {SKETCH_BITS}, 0)) << greatest(length(bin({v})) - {SKETCH_BITS}, 0))"
     cells = " UNION ALL ".join(f"SELECT lang, source, '{r}' AS rate, {bucket(r)} AS bucket FROM c WHERE NOT base_failed" for r in FLOORS)
 
+    upper = lambda q: f"({q} + (1::BIGINT << greatest(length(bin({q})) - {SKETCH_BITS}, 0)) - 1)"
+
     def fences(name: str, keys: str) -> str:
         k = f"{keys}, " if keys else ""
-        return f"""{name} AS (SELECT {k}rate, max(docs) AS docs, min(bucket) FILTER (WHERE below * 4 >= docs * 3) + {REACH} * (min(bucket) FILTER (WHERE below * 4 >= docs * 3) - min(bucket) FILTER (WHERE below * 4 >= docs)) AS fence
-            FROM (SELECT {k}rate, bucket, sum(n) OVER (PARTITION BY {k}rate ORDER BY bucket) AS below, sum(n) OVER (PARTITION BY {k}rate) AS docs
-                  FROM (SELECT {k}rate, bucket, count(*) AS n FROM cells GROUP BY {k}rate, bucket)) GROUP BY {k}rate)"""
+        return f"""{name} AS (SELECT {k}rate, docs, {upper("q3")} + {REACH} * ({upper("q3")} - {upper("q1")}) AS fence
+            FROM (SELECT {k}rate, max(docs) AS docs, min(bucket) FILTER (WHERE below * 4 >= docs * 3) AS q3, min(bucket) FILTER (WHERE below * 4 >= docs) AS q1
+              FROM (SELECT {k}rate, bucket, sum(n) OVER (PARTITION BY {k}rate ORDER BY bucket) AS below, sum(n) OVER (PARTITION BY {k}rate) AS docs
+                    FROM (SELECT {k}rate, bucket, count(*) AS n FROM cells GROUP BY {k}rate, bucket)) GROUP BY {k}rate))"""
 
     picked = ", ".join(f"max(greatest(bar, {floor})) FILTER (WHERE rate = '{r}') AS max_{r}" for r, floor in FLOORS.items())
     within = " AND ".join(f"{r} <= coalesce(max_{r}, {r})" for r in FLOORS)
