@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import text as X
 from ..operators.archive import ARC
+from ..operators.search import postings
 from ..operators.transcript import build_chunks
 from ..session import cut_lineage
 
@@ -298,7 +299,7 @@ def lifecycle(spark: SparkSession, d: str) -> DataFrame:
 # --- search -------------------------------------------------------------------------------------------------------
 
 
-_written: dict[tuple[str, str], DataFrame] = {}
+_written: dict[tuple[str, ...], DataFrame] = {}
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -315,6 +316,14 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return _written[key]
 
 
+def index(spark: SparkSession, d: str) -> DataFrame:
+    """The lexical index of the moments, written once per application and shared by all search queries."""
+    key = (spark.sparkContext.applicationId, d, "index")
+    if key not in _written:
+        _written[key] = cut_lineage(postings(chunks(spark, d)))
+    return _written[key]
+
+
 def search_queries(spark: SparkSession, d: str) -> DataFrame:
     """Every benchmark text asked of each of the four archives."""
     b = table(spark, d, "benchmark")
