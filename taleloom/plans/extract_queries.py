@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import text as X
 from ..functions.timescan import time_expressions
+from ..operators import archive as A
 from ..operators import extract as E
 from ..operators import marks as M
 from ..operators import phrases as P
@@ -277,15 +278,30 @@ def age_marks(s, d):
     return x.select("story_id", "kind", "status", "value", "year_from", "seg", "evidence")
 
 
-AGE_MARKS = sql("""
+AGES = """
   , m as (select story_id, s.archive_id, idx, (g.recording_id + idx) % 9 as t, 5 + (g.recording_id * 3 + idx * 7) % 90 as age, 2 + (g.recording_id + idx) % 11 as y
           from sp_spans s join spoken_raw g on g.recording_id = s.recording_id and g.idx between seg_start and seg_end)
+"""
+AGE_MARKS = sql(AGES + """
   select story_id, case t when 2 then 'duration' else 'age' end as kind, case when t = 5 or (t = 0 and archive_id <> 'de' and 1935 + age > 2024) then 'refused' else 'kept' end as status,
     case t when 2 then y else age end as value, case when t = 0 and archive_id <> 'de' and 1935 + age <= 2024 then 1935 + age end as year_from, idx as seg,
     case t when 0 then 'I was ' || age || ' years old' when 2 then 'for ' || y || ' years' else 'tinha ' || age || ' anos' end as evidence from m where t in (0, 2, 5)
 """, "sp_spans", "spoken_raw")
 
 
+def refusals(s, d):
+    """Refused ages by kind and reason."""
+    seg, sto = _spoken(s, d)
+    x = M.age_and_duration_marks(M.located_expressions(sto, seg), V.spoken_archives(s, d), AS_OF)
+    return A.rejection_quality(x.where("status = 'refused'"))
+
+
+REFUSALS = sql(AGES + """
+  select 'age' as kind, case when t = 5 then 'age_of_another' else 'age_in_future' end as reason, count(*) as n
+  from m where t = 5 or (t = 0 and archive_id <> 'de' and 1935 + age > 2024) group by 1, 2
+""", "sp_spans", "spoken_raw")
+
+
 def time_marks(s, d):
     seg, sto, f = _spoken_facts(s, d)
     x = M.time_marks(sto, seg, f, V.spoken_archives(s, d), AS_OF)
@@ -338,6 +354,7 @@ QUERIES = {
     "verify_life_stage": Query(life_stages, LIFE_STAGES),
     "mention_scan": Query(mentions, MENTIONS),
     "age_and_duration_marks": Query(age_marks, AGE_MARKS),
+    "rejection_quality": Query(refusals, REFUSALS),
     "offset_marks": Query(time_marks, TIME_MARKS),
     "rederive_marks": Query(rederived, REDERIVED),
 }
