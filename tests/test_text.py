@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from taleloom.functions import text as X
-from taleloom.functions.timescan import number_value, scan_text
+from taleloom.functions.timescan import number_value, scan_texts
 from taleloom.operators import extract as E
 from taleloom.operators import phrases as P
 
@@ -17,7 +17,8 @@ def plain(text):
 
 
 def found(text):
-    return [(k, v, s, p, f) for k, v, s, p, _, f in scan_text(text, plain(text))]
+    x = scan_texts([text], [plain(text)])
+    return list(x[["kind", "value", "stage", "phrase", "first_person"]].itertuples(index=False, name=None))
 
 
 @pytest.mark.parametrize("text,want", [
@@ -38,6 +39,25 @@ def test_time_expressions(text, want):
     assert found(text) == want
 
 
+def test_a_batch_is_scanned_as_its_texts_are():
+    far = "word " * 40
+    texts = [
+        "I was nineteen", "years later, eu tinha vinte e um anos", "", "tinha 9 anos trabalhando; yo tenía quince años", far + "for 30 years " + far + "my youth and twenty years later",
+        "no \0 ano seguinte", "At the age of forty-two, I", "left " + far * 30 + "she is a 40-year-old", "depois de 3 anos depois de 4 anos", "por dois anos por dois anos\n",
+    ]
+    plain_texts = [plain(t) for t in texts]
+    every = scan_texts(texts, plain_texts)
+    alone = [scan_texts([t], [p]).assign(owner=i) for i, (t, p) in enumerate(zip(texts, plain_texts))]
+    rows = lambda x: sorted(map(repr, x[["owner", "kind", "value", "stage", "phrase", "at", "first_person"]].astype(object).where(lambda v: v.notna(), None).itertuples(index=False, name=None)))
+    assert rows(every) == sorted(r for x in alone for r in rows(x))
+    for owner, phrase, at, kind in every[["owner", "phrase", "at", "kind"]].itertuples(index=False):
+        assert (plain_texts if kind == "stage" else texts)[owner][at:].startswith(phrase)
+    values = [(o, k, v) for o, k, v in every[["owner", "kind", "value"]].itertuples(index=False) if k != "stage"]
+    assert sorted(values) == sorted([
+        (0, "age", 19), (1, "age", 21), (3, "age", 9), (3, "age", 15), (4, "duration", 30), (4, "offset", 20), (6, "age", 42), (7, "age", 40), (8, "offset", 3),
+        (9, "duration", 2), (9, "duration", 2)])
+
+
 def test_number_value():
     assert [number_value(x) for x in ("vinte e um", "forty two", "7", "many", "noventa")] == [21, 42, 7, None, 90]
 
