@@ -26,10 +26,29 @@ def _fold_tables() -> tuple[str, str]:
 _ACCENTED, _PLAIN = _fold_tables()
 
 
+# A Hangul syllable is numbered (lead * 21 + vowel) * 28 + tail; tail 0 is none.
+_SYLLABLES = "\uac00", "\ud7a3"
+_LEADS, _VOWELS, _TAILS = ("".join(map(chr, range(a, a + n))) for a, n in ((0x1100, 19), (0x1161, 21), (0x11A8, 27)))
+
+
+def _letters_of_syllables(c: Column) -> Column:
+    """Hangul syllables as their two or three letters, other characters as they are."""
+
+    def letters(char: Column) -> Column:
+        n = F.ascii(char) - ord(_SYLLABLES[0])
+        pick = lambda table, at: F.substr(F.lit(table), at.cast("int"), F.lit(1))
+        lead, vowel, tail = pick(_LEADS, F.floor(n / 588) + 1), pick(_VOWELS, F.floor(n % 588 / 28) + 1), n % 28
+        return F.when(char.between(*map(F.lit, _SYLLABLES)), F.concat(lead, vowel, F.when(tail > 0, pick(_TAILS, tail)).otherwise(""))).otherwise(char)
+
+    return F.array_join(F.transform(F.split(c, ""), letters), "")
+
+
 def normalize(col: Column | str) -> Column:
     """Lower case, no accents, single spaces between runs of letters and digits."""
     c = F.col(col) if isinstance(col, str) else col
-    folded = F.regexp_replace(F.translate(F.lower(c), _ACCENTED, _PLAIN), r"\p{M}+", "")
+    syllables = c.rlike(f"[{'-'.join(_SYLLABLES)}]")
+    folded = F.translate(F.when(syllables, _letters_of_syllables(F.lower(c))).otherwise(F.lower(c)), _ACCENTED, _PLAIN)
+    folded = F.regexp_replace(folded, r"\p{M}+", "")
     return F.trim(F.regexp_replace(folded, r"[^\p{L}\p{N}]+", " "))
 
 

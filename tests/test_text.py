@@ -1,5 +1,6 @@
 """Golden rows for text rules; the sentences are written for these tests."""
 
+import sys
 import unicodedata
 
 import pytest
@@ -118,3 +119,17 @@ def test_long_phrase_may_skip_two_words(spark):
     req = spark.createDataFrame([("r", 0, 9, "x", "the red barn"), ("r", 0, 9, "y", "we the barn")], "recording_id string, seg_from int, seg_to int, request_id string, phrase string")
     got = {r.request_id: r.evidence for r in P.locate(req, P.streams(seg), tolerant=True).collect()}
     assert got == {"x": "the very big red barn"}
+
+
+def test_every_letter_is_folded_as_canonical_decomposition_folds_it(spark):
+    letters = [chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == "L"]
+    known = F.col("text").rlike(r"^\p{L}$")  # the JVM may know fewer letters
+    rows = spark.createDataFrame([(x,) for x in letters], "text string").where(known).select("text", X.normalize("text").alias("got")).collect()
+    assert len(rows) > 120_000
+    assert [(r.text, r.got) for r in rows if r.got != plain(r.text)] == []
+
+
+def test_syllables_within_texts(spark):
+    texts = ["서울 Café 각", "힣", "가", "", None, "\U0001f600 한 글\U0001f600자 ñ"]
+    got = [r.n for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").orderBy("i").select(X.normalize("text").alias("n")).collect()]
+    assert got == [None if t is None else plain(t) for t in texts]
