@@ -1,10 +1,12 @@
 """Block-wise operators give the same result as a plain pass, also when a key spans many blocks."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
 
 import pytest
+from taleloom.operators import envelope as E
 from taleloom.operators import ordered as O
 from taleloom.operators import transcript as T
 
@@ -123,3 +125,23 @@ def test_dense_hits_lose_nothing(spark):
 
     hits = spark.range(160_000).selectExpr("1 as story_id", "1 as entity_id", "0 as phrase_rank", "id as at", "id * 0.00003D as time")
     assert sorted(r.at for r in M.spaced_dedupe(hits, 1.5).collect()) == [0, 50000, 100000, 150000]
+
+
+@pytest.mark.parametrize("buckets", [16, 64, 240])
+def test_envelope_slices_of_long_and_short_spans(spark, buckets):
+    """Spans over, at and under the number of buckets, past the end, and outside the recording, against a direct reading."""
+    rng = random.Random(buckets)
+    peaks = [rng.randrange(256) for _ in range(1500)]
+    spans = [(1, 0.0, 60.0), (2, 3.3, 3.3 + buckets / 20), (3, 10.0, 10.2), (4, 70.0, 90.0), (5, 5.0, 5.0), (6, 12.34, 41.07)]
+    envelope = spark.createDataFrame([(1, i, p) for i, p in enumerate(peaks)], "recording_id long, frame int, peak int")
+    stories = spark.createDataFrame([(1, *s) for s in spans], "recording_id long, story_id long, start double, end double")
+    want = {}
+    for story, a, b in spans:
+        f0 = max(0, math.floor(a * 20))
+        f1 = min(len(peaks), max(f0 + 1, math.ceil(b * 20)))
+        n = max(1, min(buckets, f1 - f0))
+        for f in range(f0, f1):
+            at = -(-(f - f0 + 1) * n // (f1 - f0)) - 1
+            want[story, at] = max(want.get((story, at), 0), peaks[f])
+    got = {(r.story_id, r.bucket): r.level for r in E.slice_envelope(envelope, stories, buckets).collect()}
+    assert got == {k: math.floor(v / 255 * 1000 + 0.5) / 1000 for k, v in want.items()}
