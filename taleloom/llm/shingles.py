@@ -22,6 +22,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@lru_cache(maxsize=1)
+def _places() -> np.ndarray:
+    """An odd factor for each place in a shingle. They stand in no simple ratio: sums with 1, 3, 5, 7, 9 times one factor would be equal for
+    "a b b a c" and "b a a b c"."""
+    return _mix(np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(_GOLDEN)) | np.uint64(1)
+
+
 @lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
@@ -54,7 +61,7 @@ def bags(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data = np.frombuffer(b"".join(texts), np.uint8)
     hashes, at = _word_hashes(data, starts) if len(data) else (np.empty(0, np.uint64), np.empty(0, np.int64))
     text = np.searchsorted(starts + lengths, at, side="right")
-    odd = [_step(2 * k + 1) for k in range(WORDS)]
+    odd = _places()
     n = max(0, len(hashes) - WORDS + 1)
     whole = text[:n] == text[WORDS - 1 :] if n else np.empty(0, bool)
     shingle = _mix(sum((hashes[k : k + n] * odd[k] for k in range(WORDS)), np.zeros(n, np.uint64)))[whole]
@@ -63,7 +70,7 @@ def bags(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     short = np.flatnonzero((words > 0) & (words < WORDS))
     if len(short):
         first = np.searchsorted(text, short)
-        made = [int(_mix(np.add.reduce(hashes[f : f + w] * np.array(odd[:w], np.uint64), keepdims=True) + np.uint64(w))[0]) for f, w in zip(first.tolist(), words[short].tolist(), strict=True)]
+        made = [int(_mix(np.add.reduce(hashes[f : f + w] * odd[:w], keepdims=True) + np.uint64(w))[0]) for f, w in zip(first.tolist(), words[short].tolist(), strict=True)]
         shingle, owner = np.concatenate((shingle, np.array(made, np.uint64))), np.concatenate((owner, short))
     order = np.lexsort((shingle, owner))
     shingle, owner = shingle[order], owner[order]

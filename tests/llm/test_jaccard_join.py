@@ -1,13 +1,15 @@
 """The Jaccard join against all pairs."""
 
+import itertools
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
 from taleloom.llm import jaccard_join as jj
+from taleloom.llm.shingles import bags
 
 from .conftest import ODD
 
@@ -104,3 +106,17 @@ def test_bags_count_copies():
     assert size.tolist() == [11, 1]
     assert np.bincount(owner).tolist() == [11, 1] and len(set(element[owner == 0].tolist())) == 11
     assert element[owner == 1][0] in element[owner == 0]
+
+
+def test_shingles_of_few_different_words_are_told_apart():
+    """All windows of five words over two and three words, and texts of one to four words, in bags of their own and together."""
+    for letters in ("ab", "abc"):
+        windows = [" ".join(w).encode() for n in range(1, 6) for w in itertools.product(letters, repeat=n)]
+        owner, shingle, count = bags(windows)
+        assert owner.tolist() == list(range(len(windows))) and len(set(shingle.tolist())) == len(windows) and set(count.tolist()) == {1}
+    rng = random.Random(3)
+    words = [rng.choice(["x", "yy", "z z"]) for _ in range(3000)]
+    text = " ".join(words).split()
+    want = Counter(tuple(text[i : i + 5]) for i in range(len(text) - 4))
+    _, _, count = bags([" ".join(text).encode()])
+    assert sorted(count.tolist()) == sorted(want.values())
