@@ -28,7 +28,7 @@ def written(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """The rows of df from a Parquet table in the shared checkpoint folder.
 
     For loops: a checkpoint hands on the size that was estimated for its plan, and joins multiply such estimates round after round; a table has
@@ -36,7 +36,7 @@ def stored(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/tables/{uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

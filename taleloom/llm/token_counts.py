@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import table, without
+from .common import modest_batches, stored, table, without
 
 SPACE = "▁"
 #: Words and parts of words kept in a worker's tables before they start anew.
@@ -131,7 +131,7 @@ def counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
 
 
-def _prefix_batches(batches: Iterator[pa.RecordBatch], path: str, text_at: int, names: list[str], store: bool, limit: int) -> Iterator[pa.RecordBatch]:
+def _prefix_batches(batches: Iterator[pa.RecordBatch], path: str, text_at: int, names: list[str], keep_text: bool, limit: int) -> Iterator[pa.RecordBatch]:
     dp = counter(path)
     for batch in batches:
         texts = batch.column(text_at)
@@ -143,23 +143,23 @@ def _prefix_batches(batches: Iterator[pa.RecordBatch], path: str, text_at: int,
             fits = np.flatnonzero(sums <= limit)
             within.append(max(int(fits[-1]), 0) if len(fits) else 0)
             stored.append(steps)
-        new = [pa.array(totals, pa.int64()), pa.array(within, pa.int64())] + [pa.array(stored, pa.binary())] * store
-        kept = [c for i, c in enumerate(batch.columns) if store or i != text_at]
+        new = [pa.array(totals, pa.int64()), pa.array(within, pa.int64()), pa.array(stored, pa.binary())]
+        kept = [c for i, c in enumerate(batch.columns) if keep_text or i != text_at]
         yield pa.RecordBatch.from_arrays(kept + new, names=names)
 
 
-def prefix_counts(df: DataFrame, path: str, limit: int = LIMIT, text: str = "text", store: bool = True) -> DataFrame:
+def prefix_counts(df: DataFrame, path: str, limit: int = LIMIT, text: str = "text", keep_text: bool = True) -> DataFrame:
     """df with n_tokens, fits and prefix_steps (replacing columns of these names).
 
     n_tokens counts the whole text as the sentencepiece library does without begin and end marks; a null text is empty. prefix_steps stores the
     count at every prefix: 16-bit changes, the first for the space mark before the text, then one per code point; a running sum gives the counts.
-    fits is the length in code points of the longest prefix with at most `limit` tokens. store=False leaves prefix_steps and the text out.
+    fits is the length in code points of the longest prefix with at most `limit` tokens. keep_text=False leaves the text out.
     """
     base = without(df, "n_tokens", "fits", "prefix_steps")
-    columns = [f for f in base.schema.fields if store or f.name != text]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in columns] + ["n_tokens long", "fits long"] + ["prefix_steps binary"] * store)
-    names = [f.name for f in columns] + ["n_tokens", "fits"] + ["prefix_steps"] * store
-    return base.mapInArrow(partial(_prefix_batches, path=path, text_at=base.columns.index(text), names=names, store=store, limit=limit), schema)
+    columns = [f for f in base.schema.fields if keep_text or f.name != text]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in columns] + ["n_tokens long", "fits long", "prefix_steps binary"])
+    names = [f.name for f in columns] + ["n_tokens", "fits", "prefix_steps"]
+    return base.mapInArrow(partial(_prefix_batches, path=path, text_at=base.columns.index(text), names=names, keep_text=keep_text, limit=limit), schema)
 
 
 @F.pandas_udf(LongType())
@@ -180,6 +180,11 @@ def prefix_within(prefix_steps: pd.Series, budget: pd.Series) -> pd.Series:
 
 
 def op2_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stores the count at every prefix of all documents once; every answer is read from the stored steps, no text is encoded again."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
-    counted = prefix_counts(docs, public_tokenizers.path("piece_bpe_32k.model"), store=False)
-    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"), F.col("fits").alias("chars_within_limit"))
+    modest_batches(docs)
+    steps = prefix_counts(docs, public_tokenizers.path("piece_bpe_32k.model"), keep_text=False).select("doc_id", "n_bytes", "prefix_steps")
+    kept = stored(steps, compression="zstd")
+    code_points = F.octet_length("prefix_steps") / 2
+    answered = kept.select("doc_id", "n_bytes", tokens_at("prefix_steps", code_points.cast("long")).alias("n_tokens"), prefix_within("prefix_steps", F.lit(LIMIT).cast("long")).alias("chars_within_limit"))
+    return answered.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"), "chars_within_limit")

@@ -39,6 +39,8 @@ def test_token_columns(spark, docs, tmp_path):
     rows = [*ODD, (60, "word " * 5000)]
     got = token_counts.op2_prefix_token_counts(spark, _folder(docs, tmp_path, rows)).collect()
     counts = [(i, len((t or "").encode()), len(library.encode(t or ""))) for i, t in rows]
+    cut = next(r.chars_within_limit for r in got if r.doc_id == 60)
+    assert len(library.encode(rows[-1][1][:cut])) <= 4096 < len(library.encode(rows[-1][1][: cut + 1]))
     assert _sorted((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in got) == _sorted((*c, c[2] > 4096) for c in counts)
 
 
