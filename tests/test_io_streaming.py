@@ -126,6 +126,33 @@ def test_stream_ingest_and_incremental_index(spark, tmp_path):
     assert [r.text for r in index.read().collect()] == ["Hello again."]
 
 
+def test_line_numbers_go_on_after_a_restart(spark, tmp_path):
+    src, out, ck = tmp_path / "log", str(tmp_path / "lines"), str(tmp_path / "ck")
+    src.mkdir()
+
+    def arrive(name, rows):
+        (src / name).write_text("\n".join(json.dumps({"recording_id": r, "line": f"[00:00:{a:06.3f} --> 00:00:{a + 1:06.3f}]  {t}"}) for r, a, t in rows))
+
+    def run():
+        raw = J.files_stream(spark, str(src), "recording_id string, line string", files_per_trigger=1)
+        J.numbered_lines(J.live_lines(raw)).writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start().awaitTermination(120)
+
+    found = lambda df: sorted((r.recording_id, r.idx, r.start, r.text) for r in df.collect())
+    arrive("1.json", [("a", 2, "second"), ("a", 0, "first"), ("b", 0, "other"), ("a", 4, "Thanks for watching!")])
+    run()
+    seen = found(spark.read.parquet(out))
+    assert [x[:2] for x in seen] == [("a", 0), ("a", 1), ("b", 0)] and seen[1][3] == "second"
+    arrive("2.json", [("a", 9, "fourth"), ("a", 6, "third"), ("c", 1, "new"), ("c", 1, "new")])
+    run()
+    run()  # nothing new: no line twice
+    batch = J.live_lines(spark.read.schema("recording_id string, line string").json(str(src)))
+    for seconds in (3, 600):
+        assert found(J.numbered_lines(batch, seconds)) == found(spark.read.parquet(out))
+    assert set(seen) <= set(found(spark.read.parquet(out)))
+    cursors = spark.createDataFrame([("a", 2), ("b", 1), ("c", None)], "recording_id string, after int")
+    assert [x[:2] for x in found(J.lines_after(spark.read.parquet(out), cursors))] == [("a", 2), ("a", 3), ("c", 0), ("c", 1)]
+
+
 def test_report_lists_every_section(spark):
     s = spark.createDataFrame([("a", "s", "T", 0.0, 9.0)], "archive_id string, story_id string, title string, start double, end double")
     tr = spark.createDataFrame([("s", 0, 0.0, "x")], "story_id string, idx int, start double, text string")
