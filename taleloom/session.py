@@ -41,11 +41,22 @@ def get_session(master: str | None = None, **settings: object) -> SparkSession:
     )
 
 
+def _folder_for(master: str, named: str | None, warehouse: str) -> str:
+    if named:
+        return named
+    if master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return warehouse.rstrip("/") + "/_checkpoints"
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; if it is unset, as in tests, one beside the tables of the warehouse."""
+    """The shared folder that the cluster names; if it is unset, as in tests on a local master, one beside the tables of the warehouse.
+
+    A cluster that names none is an error, as the warehouse may be a folder of one machine.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+        sc.setCheckpointDir(_folder_for(sc.master, spark.conf.get("spark.checkpoint.dir", None), spark.conf.get("spark.sql.warehouse.dir")))
     return sc.getCheckpointDir()
 
 
