@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from .archive import ARC, annotated, story_summaries
+from .archive import ARC, annotated, by_merge, story_edges, story_summaries
 from .ordered import BLOCK, running, top_k
 
 
@@ -157,7 +157,7 @@ def mentions_union(facts: DataFrame, marks: DataFrame, entities: DataFrame) -> D
     m = marks.where(
         (F.col("kind") == "mention") & (F.col("status") == "kept") & F.col("entity_id").isNotNull() & F.col("start").isNotNull()
     ).select(ARC, "story_id", "entity_id", F.col("start").alias("time"))
-    m = m.join(entities.where(F.col("kind").isin("person", "place")).select(ARC, "entity_id", "kind"), [ARC, "entity_id"])
+    m = m.join(by_merge(entities.where(F.col("kind").isin("person", "place")).select(ARC, "entity_id", "kind")), [ARC, "entity_id"])
     return f.unionByName(m)
 
 
@@ -169,9 +169,9 @@ def life_events(marks: DataFrame) -> DataFrame:
 
 def life_entities(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     """Entities with the number of stories they occur in, ordered by reach."""
-    n = mentions.select(ARC, "entity_id", "story_id").distinct().groupBy(ARC, "entity_id").agg(F.count("*").alias("stories"))
+    n = story_edges(mentions).groupBy(ARC, "entity_id").agg(F.count("*").alias("stories"))
     relation = F.when(F.col("kind") == "person", F.col("relation"))
-    return n.join(entities.select(ARC, "entity_id", "kind", "name", relation.alias("relation")), [ARC, "entity_id"])
+    return n.join(by_merge(entities.select(ARC, "entity_id", "kind", "name", relation.alias("relation"))), [ARC, "entity_id"])
 
 
 def entities_by_reach(life_ents: DataFrame) -> DataFrame:

@@ -109,3 +109,27 @@ def test_mark_asked_and_rename(spark):
     q = spark.createDataFrame([("a", 1, "Why?", False), ("a", 2, "Who?", False)], "archive_id string, question_id int, text string, dismissed boolean")
     got = A.mark_asked(q, q.where(F.col("question_id") == 1)).collect()
     assert Counter(r.dismissed for r in got) == {True: 1, False: 1}
+
+
+def test_entities_are_never_broadcast(spark):
+    """Entities look small to the planner however many they are; a broadcast sends them whole through the driver."""
+    from taleloom.operators import timeline as TL
+
+    e = spark.createDataFrame([("a", i, "person", f"N {i}", None, []) for i in range(3)], "archive_id string, entity_id long, kind string, name string, relation string, aliases array<string>")
+    f = spark.createDataFrame([("a", 10 + i, i % 2, "person", 1.0, 10 + i) for i in range(4)], "archive_id string, story_id long, entity_id long, kind string, start double, fact_id long")
+    k = spark.createDataFrame([("a", 10, 0, "mention", "kept", 2.0)], "archive_id string, story_id long, entity_id long, kind string, status string, start double")
+    y = f.select("story_id", F.when(F.col("story_id") > 10, 1990 + F.col("story_id")).alias("year"))
+    s = f.select("story_id", F.lit(True).alias("annotated"))
+    m = TL.mentions_union(f, k, e)
+    c = f.select("archive_id", "kind", F.lit("n 1").alias("name"))
+    made = {
+        "timelines": (A.entity_timelines(m, y, e).select("entity_id", "first_year", "last_year", "dated", "undated"), {(0, 2002, 2002, 1, 1), (1, 2001, 2003, 2, 0)}),
+        "known": (A.known_entity_flag(c, e).select("known").distinct(), {(True,)}),
+        "life": (TL.life_entities(m, e).select("entity_id", "stories"), {(0, 2), (1, 2)}),
+        "counts": (A.entity_counts(e, f, s).select("entity_id", "stories", "moments"), {(0, 2, 2), (1, 2, 2)}),
+        "most used": (A.known_entities(e, f).select("entity_id", "uses", "rank"), {(0, 2, 1), (1, 2, 2)}),
+    }
+    for name, (df, want) in made.items():
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "strategy=merge" in plan, name
+        assert {tuple(r) for r in df.collect()} == want, name
