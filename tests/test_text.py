@@ -1,5 +1,6 @@
 """Golden rows for text rules; the sentences are written for these tests."""
 
+import random
 import sys
 import unicodedata
 
@@ -7,9 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from taleloom.functions import text as X
+from taleloom.functions import timescan
 from taleloom.functions.timescan import number_value, scan_texts
 from taleloom.operators import extract as E
 from taleloom.operators import phrases as P
+from taleloom.operators import transcript as T
 
 
 def plain(text):
@@ -133,3 +136,36 @@ def test_syllables_within_texts(spark):
     texts = ["서울 Café 각", "힣", "가", "", None, "\U0001f600 한 글\U0001f600자 ñ"]
     got = [r.n for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").orderBy("i").select(X.normalize("text").alias("n")).collect()]
     assert got == [None if t is None else plain(t) for t in texts]
+
+
+def test_patterns_that_begin_with_a_number_see_all_they_need(monkeypatch):
+    """The few words around an anchor give the rows that wide stretches give."""
+    said = "vinte e cinco anos depois mais tarde year years old later turned I was 33 twenty-five twenty and y año años de idade quando trabalhando for , . - the age of".split()
+    pick = random.Random(5)
+    texts = [" ".join(pick.choice(said) for _ in range(pick.randint(1, 40))) for _ in range(4000)]
+    forms = [plain(t) for t in texts]
+    near = scan_texts(texts, forms).values.tolist()
+    monkeypatch.setattr(timescan, "REACH_OF_NUMBER", timescan.REACH)
+    assert near == scan_texts(texts, forms).values.tolist() and len(near) > 100
+
+
+def test_words_are_split_once_per_segment(spark):
+    """Before, the plan split a segment's text again for each of its words."""
+    rows = [(1, 0, 0.0, 1.0, " one two  three four"), (1, 1, 1.0, 2.0, ""), (1, 2, 2.0, 3.0, None)]
+    got = T.interpolated_words(spark.createDataFrame(rows, "recording_id long, idx int, start double, end double, text string"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("split(text") == 1
+    assert sorted((r["idx"], r["pos"], r["start"], r["end"], r["text"]) for r in got.collect()) == [
+        (0, 0, 0.0, 0.25, "one"), (0, 1, 0.25, 0.5, "two"), (0, 2, 0.5, 0.75, "three"), (0, 3, 0.75, 1.0, "four")]
+
+
+def test_requests_of_one_segment_meet_it_on_equal_keys(spark):
+    """The same hits as over spans, and the sort of the grouping holds no pieces of the segments."""
+    words = [(0.0, 1.0, "in"), (1.0, 2.0, "the"), (2.0, 3.0, "old"), (3.0, 4.0, "House,")]
+    seg = [(1, 0, 0.0, 4.0, "in the old House,", words), (1, 1, 4.0, 8.0, "the old house", words), (2, 0, 0.0, 4.0, "old houses", None)] * 2
+    seg = spark.createDataFrame(seg, "recording_id long, idx int, start double, end double, text string, words array<struct<start:double,end:double,text:string>>")
+    req = [(r, i, i, f"{r}|{i}|{p}", p) for r, i in [(1, 0), (1, 1), (2, 0), (3, 0), (1, None)] for p in ("the old house", "house", "sea")]
+    req = spark.createDataFrame(req, "recording_id long, seg_from int, seg_to int, request_id string, phrase string")
+    got = P.locate(req, P.streams(seg), tolerant=True, single=True)
+    assert sorted(got.collect()) == sorted(P.locate(req, P.streams(seg), tolerant=True).collect()) and got.count() == 5
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan and "pieces" not in plan.split("Aggregate", 1)[1].split("\n", 1)[0]
