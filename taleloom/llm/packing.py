@@ -13,10 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blocks import sliced
 from .bpe import byte_bpe
-from .common import numbered, table, written
+from .common import modest_batches, numbered, table, written
 
 CAPACITY = 1024
+#: Bytes of text that a worker takes from a batch at once.
+PART = 1 << 20
 END_OF_TEXT = b"\0\0\0\0"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -81,13 +84,14 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str, ranks_path: str | None, capacity: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     bpe, step = byte_bpe(path, ranks_path), 4 * capacity
-    for batch in batches:
+    for batch in sliced(batches, 1, PART):
         out: list[list] = [[], [], [], [], [], []]
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             ids = bpe.ids(text or "") + END_OF_TEXT
             for at in range(0, len(ids), step):
                 piece = ids[at : at + step]
-                for column, value in zip(out, (doc_id, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, piece), strict=True):
+                values = (doc_id, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, piece if with_ids else None)
+                for column, value in zip(out, values, strict=True):
                     column.append(value)
         kinds = [pa.int64()] * 5 + [pa.binary()]
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
@@ -97,6 +101,7 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, ranks_path: str | None, c
 
 def pieces(docs: DataFrame, path: str, ranks_path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Documents (doc_id, text) as token pieces: full windows from the front, then the rest. A null text is empty; every document ends with id 0."""
+    modest_batches(docs)
     run = partial(_cut, path=path, ranks_path=ranks_path, capacity=capacity, with_ids=with_ids)
     return docs.select("doc_id", "text").mapInArrow(run, PIECES + ", ids binary" * with_ids)
 
