@@ -28,8 +28,14 @@ MOST_BUCKETS = 1 << 20
 SAMPLES = 64
 #: Bytes of text whose ranks are held at once; longer texts are read in overlapping parts.
 PART = 1 << 20
+#: Bytes of short texts that are ranked at once, so that the ranks stay in the processor's cache.
+TOGETHER = 1 << 15
 #: An anchor with more entries than this is split: its windows are dealt out by their own bytes.
 HOT = 4096
+#: Runs or windows whose bytes are handled at once.
+HELD = 1 << 16
+#: Windows of runs that are sorted at once; those with one anchor stay together.
+WINDOWS = 1 << 17
 NO_ID = np.int64(2**63 - 1)
 
 
@@ -49,30 +55,66 @@ def _words(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def runs(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rank of the anchor, first window and end of the last window, of each run of windows with one anchor in a text of bytes."""
-    ranks, starts, ends = [], [], []
+def _ranks(data: np.ndarray) -> np.ndarray:
+    """Rank of the ANCHOR bytes from each position on: a hash, in which no byte order matters."""
+    w = np.ndarray(len(data) - 7, "<u8", data, strides=(1,)).astype(np.uint64)
+    n = len(data) - ANCHOR + 1
+    rank = w[:n] * np.uint64(0x9E3779B97F4A7C15)
+    shifted = np.empty(n, np.uint64)
+    for o, factor in zip(range(8, ANCHOR, 8), (0x7FB5D329728EA185, 0x81DADEF4BC2DD44D), strict=True):
+        np.right_shift(rank, np.uint64(32), out=shifted)
+        rank ^= shifted
+        rank += w[o : o + n]
+        rank *= np.uint64(factor)
+    return rank
+
+
+def runs(texts: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts of bytes, each run of windows with one anchor: number of the text, rank of the anchor, first window and end of the last window.
+
+    Short texts are ranked together; windows that lie across two of them are left out.
+    """
+    out: list[tuple] = []
+    held: list[tuple[int, int, np.ndarray]] = []
+    size = 0
     wide = length - ANCHOR + 1
-    for at in range(0, max(0, len(data) - length + 1), PART):
-        part = data[at : at + PART + length - 1]
-        w = _words(part)
-        n = len(part) - ANCHOR + 1
-        least = w[:n] * np.uint64(0x9E3779B97F4A7C15)
-        for o in range(8, ANCHOR, 8):
-            least = _mix(least + w[o : o + n])
+
+    def emit() -> None:
+        nonlocal held, size
+        which, at = (np.array([h[i] for h in held], np.int64) for i in (0, 1))
+        sizes = np.array([len(h[2]) for h in held])
+        least = _ranks(np.concatenate([h[2] for h in held]) if len(held) > 1 else held[0][2])
+        held, size = [], 0
         span = 1
         while 2 * span <= wide:
             least = np.minimum(least[:-span], least[span:])
             span *= 2
         if span < wide:
             least = np.minimum(least[: span - wide], least[wide - span :])
-        first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-        ranks.append(least[first])
-        starts.append(first + at)
-        ends.append(np.concatenate((first[1:], [len(least)])) - 1 + at + length)
-    if not ranks:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(ranks), np.concatenate(starts), np.concatenate(ends)
+        new = np.ones(len(least) + 1, bool)
+        np.not_equal(least[1:], least[:-1], out=new[1:-1])
+        begins = np.cumsum(sizes) - sizes
+        new[begins] = True
+        new[(begins + sizes - length + 1)] = True  # the first window that goes beyond a text
+        first = np.flatnonzero(new)
+        first, last = first[:-1], first[1:] - 1
+        place = np.searchsorted(begins, first, side="right") - 1
+        within = first - begins[place] <= sizes[place] - length
+        first, last, place = first[within], last[within], place[within]
+        moved = (at - begins)[place]
+        out.append((which[place], least[first], first + moved, last + moved + length))
+
+    for i, data in enumerate(texts):
+        for at in range(0, len(data) - length + 1, PART):
+            held.append((i, at, data[at : at + PART + length - 1]))
+            size += len(held[-1][2])
+            if size > TOGETHER:
+                emit()
+    if held:
+        emit()
+    if not out:
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def multikey_sorted(words: np.ndarray, small: int = 4096) -> np.ndarray:
@@ -97,15 +139,21 @@ def multikey_sorted(words: np.ndarray, small: int = 4096) -> np.ndarray:
     return order
 
 
-def _bytes_of(array: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_py().encode() if x.is_valid else b"", np.uint8) for x in array]
+def _bytes_of(array: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
+    """The UTF-8 bytes of each text, as views of the array's own; null is empty."""
+    out: list[np.ndarray] = []
+    for chunk in array.chunks if isinstance(array, pa.ChunkedArray) else [array]:
+        chunk = pa.compute.fill_null(chunk, "").cast(pa.large_binary())
+        _, ends, data = chunk.buffers()
+        data = np.frombuffer(data or b"", np.uint8)
+        ends = np.frombuffer(ends, np.int64)[chunk.offset : chunk.offset + len(chunk) + 1].tolist() if len(chunk) else []
+        out += [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+    return out
 
 
 def _sample(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches, 0, PART):
-        ranks = [runs(data, length)[0] for data in _bytes_of(batch.column(0))]
-        some = np.concatenate(ranks) if ranks else np.empty(0, np.uint64)
-        yield pa.record_batch([pa.array(some.astype(np.int64, copy=False).view(np.int64))], names=["rank"])
+        yield pa.record_batch([pa.array(runs(_bytes_of(batch.column(0)), length)[1].view(np.int64))], names=["rank"])
 
 
 def splitters(texts: DataFrame, buckets: int, length: int, size: int) -> np.ndarray:
@@ -129,16 +177,20 @@ def _anchors(batches: Iterator[pa.RecordBatch], bounds, length: int) -> Iterator
     """(shard, text) of a partition -> (bucket, block): sorted ranks of anchors with their shards; met: in more than one document of the shard."""
     bounds = bounds.value
     parts: list[tuple] = []
-    held = 0
+    held = docs = 0
 
     def emit() -> Iterator[pa.RecordBatch]:
         nonlocal parts, held
-        rank, shard = (np.concatenate(x) for x in zip(*parts, strict=True))
+        rank, shard, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
         parts, held = [], 0
-        order = np.lexsort((shard, rank))
-        rank, shard = rank[order], shard[order]
-        first = np.flatnonzero(np.concatenate(([True], (rank[1:] != rank[:-1]) | (shard[1:] != shard[:-1]))))
-        met = np.diff(np.append(first, len(rank))) > 1
+        order = np.argsort(rank)
+        rank = rank[order]
+        same = rank[1:] == rank[:-1]
+        tied = np.flatnonzero(np.concatenate(([False], same)) | np.concatenate((same, [False])))
+        order[tied] = order[tied][np.lexsort((doc[order[tied]], shard[order[tied]], rank[tied]))]
+        shard, doc = shard[order], doc[order]
+        first = np.flatnonzero(np.concatenate(([True], ~same | (shard[1:] != shard[:-1]))))
+        met = doc[first] != doc[np.append(first[1:], len(doc)) - 1]
         rank, shard = rank[first], shard[first]
         bucket = np.searchsorted(bounds, rank, side="right")
         cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
@@ -147,11 +199,11 @@ def _anchors(batches: Iterator[pa.RecordBatch], bounds, length: int) -> Iterator
             yield pa.record_batch([pa.array([int(bucket[a])], pa.int32()), pa.array([block], pa.binary())], names=["bucket", "block"])
 
     for batch in sliced(batches, 1, PART):
-        for shard, data in zip(batch.column(0).to_pylist(), _bytes_of(batch.column(1)), strict=True):
-            rank = np.unique(runs(data, length)[0])
-            if len(rank):
-                parts.append((rank, np.full(len(rank), shard, np.uint32)))
-                held += len(rank)
+        which, rank, _, _ = runs(_bytes_of(batch.column(1)), length)
+        if len(rank):
+            parts.append((rank, batch.column(0).to_numpy()[which].astype(np.uint32), docs + which))
+            held += len(rank)
+        docs += batch.num_rows
         if held > 1_000_000:
             yield from emit()
     if parts:
@@ -214,6 +266,28 @@ def _opened_docs(blocks: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndar
 SPANS = "shard int, bucket int, local boolean, block binary"
 
 
+def _numbered_texts(whole: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number for each stretch of bytes: equal stretches, and only those, have equal numbers, from 0 without gaps."""
+    some = [zip(start[i : i + HELD].tolist(), end[i : i + HELD].tolist(), strict=True) for i in range(0, len(start), HELD)]
+    texts = pa.chunked_array([pa.array([whole[a:b] for a, b in pairs], pa.binary()) for pairs in some], pa.binary())
+    return np.concatenate([c.indices.to_numpy() for c in texts.dictionary_encode().unify_dictionaries().chunks])
+
+
+def _least_of(numbers: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    least = np.full(int(numbers.max()) + 1, NO_ID)
+    np.minimum.at(least, numbers, docs)
+    return least
+
+
+def _blocks_of(shards: np.ndarray, **columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Number columns as one compressed block per shard."""
+    order = np.argsort(shards, kind="stable")
+    shards = shards[order]
+    cuts = np.flatnonzero(np.concatenate(([True], shards[1:] != shards[:-1]))) if len(shards) else np.empty(0, np.int64)
+    for a, b in zip(cuts, np.append(cuts[1:], len(shards)), strict=True) if len(shards) else ():
+        yield int(shards[a]), squeezed(**{k: v[order[a:b]] for k, v in columns.items()})
+
+
 def _candidates(left: pa.Table, right: pa.Table, bounds, length: int) -> pa.Table:
     """A shard's runs with shared anchors, one for each distinct string of bytes, to the buckets of their ranks; runs that repeat a smaller
     document of the same shard are settled here and pass through as spans."""
@@ -226,49 +300,62 @@ def _candidates(left: pa.Table, right: pa.Table, bounds, length: int) -> pa.Tabl
         hot = np.concatenate([a["hot"] for a in asked]).astype(bool)
         order = np.argsort(wanted)
         wanted, hot = wanted[order], hot[order]
-        owner: dict[tuple[int, bytes], int] = {}
-        found: list[tuple[int, int, int, int, bytes]] = []
-        for doc, row, data in zip(*_opened_docs(left), strict=True):
-            rank, start, end = runs(data, length)
-            at = np.minimum(np.searchsorted(wanted, rank), len(wanted) - 1)
-            here = np.flatnonzero(wanted[at] == rank)
-            if not len(here):
-                continue
+        ids, rows, texts = _opened_docs(left)
+        which, rank, start, end = runs(texts, length)
+        at = np.minimum(np.searchsorted(wanted, rank), len(wanted) - 1)
+        here = np.flatnonzero(wanted[at] == rank)
+        which, rank, start, end, warm = which[here], rank[here], start[here], end[here], hot[at[here]]
+        before = np.cumsum([0, *(len(data) for data in texts)])[:-1]  # of each text in the shard's bytes
+        data = np.concatenate([*texts, np.zeros(64, np.uint8)])
+        if warm.any():
+            n = (end - start - length + 1)[warm]
+            single, offset = np.repeat(np.flatnonzero(warm), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            first = start[single] + offset
+            own = _own_ranks(data, before[which[single]] + first, length)
+            which, rank = np.concatenate((which[~warm], which[single])), np.concatenate((rank[~warm], own))
+            start, end = np.concatenate((start[~warm], first)), np.concatenate((end[~warm], first + length))
+        if len(rank):
+            doc, row, low, high = ids[which], rows[which], before[which] + start, before[which] + end
             whole = data.tobytes()
-            for r, a, b, h in zip(rank[here].tolist(), start[here].tolist(), end[here].tolist(), hot[at[here]].tolist(), strict=True):
-                for key, x, y in ((_own_rank(whole[i : i + length]), i, i + length) for i in range(a, b - length + 1)) if h else ((r, a, b),):
-                    text = whole[x:y]
-                    found.append((key, int(doc), int(row), x, text))
-                    least = owner.get((key, text))
-                    if least is None or doc < least:
-                        owner[(key, text)] = int(doc)
-        ask = [f for f in found if owner[(f[0], f[4])] == f[1]]
-        settled = [f for f in found if owner[(f[0], f[4])] != f[1]]
-        if settled:
-            rows, starts = np.array([f[2] for f in settled], np.int64), np.array([f[3] for f in settled], np.int64)
-            ends = starts + np.array([len(f[4]) for f in settled], np.int64)
-            for column, value in zip(out.values(), (shard, shard % (len(bounds) + 1), True, squeezed(row=rows, start=starts, end=ends)), strict=True):
-                column.append(value)
-        ask.sort()
-        rank = np.array([f[0] for f in ask], np.uint64)
-        bucket = np.searchsorted(bounds, rank, side="right")
-        cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(ask) else []
-        for a, b in zip(cuts, np.append(cuts[1:], len(ask)), strict=True) if len(ask) else ():
-            some = ask[a:b]
-            block = squeezed(
-                rank=_delta(rank[a:b]), doc=np.array([f[1] for f in some], np.int64), row=np.array([f[2] for f in some], np.int64),
-                start=np.array([f[3] for f in some], np.int64), size=np.array([len(f[4]) for f in some], np.uint32), data=b"".join(f[4] for f in some),
-            )
-            for column, value in zip(out.values(), (shard, int(bucket[a]), False, block), strict=True):
-                column.append(value)
+            number = _numbered_texts(whole, low, high)
+            repeats = _least_of(number, doc)[number] != doc
+            if repeats.any():
+                block = squeezed(row=row[repeats], start=start[repeats], end=end[repeats])
+                for column, value in zip(out.values(), (shard, shard % (len(bounds) + 1), True, block), strict=True):
+                    column.append(value)
+            ask = np.flatnonzero(~repeats)
+            ask = ask[np.lexsort((start[ask], row[ask], doc[ask], rank[ask]))]
+            bucket = np.searchsorted(bounds, rank[ask], side="right")
+            cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+            for a, b in zip(cuts, np.append(cuts[1:], len(ask)), strict=True):
+                i = ask[a:b]
+                block = squeezed(
+                    rank=_delta(rank[i]), doc=doc[i], row=row[i], start=start[i], size=(end - start)[i].astype(np.uint32),
+                    data=b"".join([whole[x:y] for x, y in zip(low[i].tolist(), high[i].tolist(), strict=True)]),
+                )
+                for column, value in zip(out.values(), (shard, int(bucket[a]), False, block), strict=True):
+                    column.append(value)
     return pa.table({"shard": pa.array(out["shard"], pa.int32()), "bucket": pa.array(out["bucket"], pa.int32()), "local": pa.array(out["local"], pa.bool_()), "block": pa.array(out["block"], pa.binary())})
 
 
-def _own_rank(window: bytes) -> int:
-    """A rank for one window alone: the windows of a hot anchor are dealt out by it. Like anchors' ranks, it is the least of several values."""
-    w = np.frombuffer(window + b"\0" * (-len(window) % 8), ">u8").astype(np.uint64)
-    x = _mix(np.add.reduce(_mix(w + np.arange(1, len(w) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)), keepdims=True))
-    return int(_mix(x + np.arange(1, LENGTH - ANCHOR + 2, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)).min())
+def _own_ranks(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """A rank for each window alone: the windows of a hot anchor are dealt out by it. Like anchors' ranks, it is the least of several values."""
+    words = _words(data)
+    out = np.empty(len(at), np.uint64)
+    for low in range(0, len(at), HELD):
+        some = at[low : low + HELD]
+        x = np.zeros(len(some), np.uint64)
+        for i, s in enumerate(range(0, length, 8)):
+            w = words[some + s]
+            if length - s < 8:
+                w &= ~np.uint64((1 << 8 * (8 - length + s)) - 1)
+            x += _mix(w + np.uint64((i + 1) * 0x9E3779B97F4A7C15 % 2**64))
+        x = _mix(x)
+        least = np.full(len(some), np.uint64(2**64 - 1))
+        for i in range(1, LENGTH - ANCHOR + 2):
+            np.minimum(least, _mix(x + np.uint64(i * 0xD6E8FEB86659FD93 % 2**64)), out=least)
+        out[low : low + HELD] = least
+    return out
 
 
 def _repeats(group: pa.Table, length: int) -> pa.Table:
@@ -278,56 +365,76 @@ def _repeats(group: pa.Table, length: int) -> pa.Table:
     for s, b in zip(*(group.filter(group.column("local")).column(c).to_pylist() for c in ("shard", "block")), strict=True):
         shards.append(s)
         blocks.append(b)
-    entries: list[tuple[int, bytes, int, int, int, int]] = []
-    for shard, block in zip(asked.column("shard").to_pylist(), asked.column("block").to_pylist(), strict=True):
-        p = opened(block)
-        ends = np.cumsum(p["size"], dtype=np.int64).tolist()
-        data = p["data"]
-        texts = (data[a:b] for a, b in zip([0, *ends], ends, strict=False))
-        entries += zip(np.cumsum(p["rank"], dtype=np.uint64).tolist(), texts, p["doc"].tolist(), [shard] * len(ends), p["row"].tolist(), p["start"].tolist(), strict=True)
-    least: dict[tuple[int, bytes], int] = {}
-    for rank, text, doc, *_ in entries:
-        known = least.get((rank, text))
-        if known is None or doc < known:
-            least[(rank, text)] = doc
-    several: dict[int, int] = {}
-    for rank, _ in least:
-        several[rank] = several.get(rank, 0) + 1
-    spans: dict[int, list[tuple[int, int, int]]] = {}
-    owners: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
-    for rank, text, doc, shard, row, start in entries:
-        if least[(rank, text)] < doc:
-            spans.setdefault(shard, []).append((row, start, start + len(text)))
-        elif several[rank] > 1:  # other runs with this anchor may share some of its windows
-            owners.setdefault((rank, text), []).append((shard, row, start))
-    open_runs = [(rank, text, least[(rank, text)]) for rank, text in owners]
-    if open_runs:
-        data = np.frombuffer(b"".join(text for _, text, _ in open_runs) + b"\0" * 64, np.uint8)
-        n = np.array([len(text) for _, text, _ in open_runs])
-        windows = n - length + 1
-        which = np.repeat(np.arange(len(n)), windows)
-        offset = np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
-        at = np.repeat(np.cumsum(n) - n, windows) + offset
-        words = _words(data)
-        steps = [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]
-        keys = np.stack([words[at + s] for s in steps], axis=1)
-        docs = np.array([doc for *_, doc in open_runs], np.int64)[which]
-        order = multikey_sorted(keys)
-        differs = np.concatenate(([True], (keys[order[1:]] != keys[order[:-1]]).any(axis=1)))  # neighbours in the suffix array
-        first = np.flatnonzero(differs)
-        smallest = np.repeat(np.minimum.reduceat(docs[order], first), np.diff(np.append(first, len(order))))
-        hit = np.empty(len(order), bool)
-        hit[order] = smallest < docs[order]
-        for i, x in zip(which[hit].tolist(), offset[hit].tolist(), strict=True):
-            for shard, row, start in owners[open_runs[i][:2]]:
-                spans.setdefault(shard, []).append((row, start + x, start + x + length))
-    for shard, some in spans.items():
-        row, start, end = (np.array(c, np.int64) for c in zip(*some, strict=True))
-        shards.append(shard)
-        blocks.append(squeezed(row=row, start=start, end=end))
+    if asked.num_rows:
+        parts = [opened(b) for b in asked.column("block").to_pylist()]
+        rank = np.concatenate([np.cumsum(p["rank"], dtype=np.uint64) for p in parts])
+        doc, row, start, size = (np.concatenate([p[c].astype(np.int64) for p in parts]) for c in ("doc", "row", "start", "size"))
+        shard = np.repeat(asked.column("shard").to_numpy(), [len(p["rank"]) for p in parts])
+        data = b"".join([p["data"] for p in parts])
+        del parts
+        ends = np.concatenate(([0], np.cumsum(size)))
+        number = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode().indices.to_numpy()
+        least = _least_of(number, doc)
+        sample = np.empty(len(least), np.int64)
+        sample[number] = np.arange(len(number))  # one place of each distinct run
+        _, same, n = np.unique(rank[sample], return_inverse=True, return_counts=True)
+        repeats = least[number] < doc
+        # other runs with the anchor of these may share some of their windows
+        owners = np.flatnonzero(~repeats & (n[same] > 1)[number])
+        found = [(shard[repeats], row[repeats], start[repeats], (start + size)[repeats])]
+        if len(owners):
+            owners = owners[np.argsort(number[owners], kind="stable")]
+            open_runs, place, held_by = np.unique(number[owners], return_index=True, return_counts=True)
+            which, low, high = _shared_stretches(data, ends, rank, sample[open_runs], least[open_runs], length)
+            times = held_by[which]
+            entry = owners[np.repeat(place[which], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+            found.append((shard[entry], row[entry], start[entry] + np.repeat(low, times), start[entry] + np.repeat(high, times)))
+        shard, row, start, end = (np.concatenate(x) for x in zip(*found, strict=True))
+        for s, b in _blocks_of(shard, row=row, start=start, end=end):
+            shards.append(s)
+            blocks.append(b)
     return pa.table({"shard": pa.array(shards, pa.int32()), "block": pa.array(blocks, pa.binary())})
 
 
+def _shared_stretches(data: bytes, ends: np.ndarray, rank: np.ndarray, places: np.ndarray, docs: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Distinct runs at these places in data, with their least documents -> number of the run, start and end there of the stretches that a
+    smaller document also has. Windows are sorted anchor by anchor, some WINDOWS at a time."""
+    order = np.argsort(rank[places], kind="stable")
+    sorted_ranks = rank[places][order]
+    before = np.cumsum((ends[places + 1] - ends[places] - length + 1)[order])
+    closes = np.flatnonzero(np.concatenate((sorted_ranks[1:] != sorted_ranks[:-1], [True])))  # last run of each anchor
+    closes = closes[np.flatnonzero(np.diff(before[closes] // WINDOWS, append=-1))]
+    out = []
+    for some in np.split(order, closes[:-1] + 1):
+        low, high = ends[places[some]], ends[places[some] + 1]
+        part = b"".join([data[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)])
+        which, start, end = _shared_windows(np.frombuffer(part + b"\0" * 8, np.uint8), high - low, docs[some], length)
+        out.append((some[which], start, end))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _shared_windows(data: np.ndarray, sizes: np.ndarray, docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    windows = sizes - length + 1
+    which = np.repeat(np.arange(len(sizes)), windows)
+    offset = np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
+    at = np.repeat(np.cumsum(sizes) - sizes, windows) + offset
+    words = _words(data)
+    steps = [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]
+    keys = np.stack([words[at + s] for s in steps], axis=1)
+    own = docs[which]
+    order = multikey_sorted(keys)
+    differs = np.concatenate(([True], (keys[order[1:]] != keys[order[:-1]]).any(axis=1)))  # neighbours in the suffix array
+    first = np.flatnonzero(differs)
+    smallest = np.repeat(np.minimum.reduceat(own[order], first), np.diff(np.append(first, len(order))))
+    hit = np.empty(len(order), bool)
+    hit[order] = smallest < own[order]
+    which, offset = which[hit], offset[hit]
+    if not len(which):
+        return which, offset, offset
+    new = np.flatnonzero(np.concatenate(([True], (which[1:] != which[:-1]) | (offset[1:] > offset[:-1] + length))))
+    return which[new], offset[new], offset[np.append(new[1:], len(which)) - 1] + length
+
+
 def _removed(left: pa.Table, right: pa.Table) -> pa.Table:
     """A shard's documents less the spans that came back, merged to maximal runs."""
     out: dict[str, list] = {"doc_id": [], "n_bytes": [], "spans": [], "kept": []}

@@ -3,17 +3,20 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from taleloom.llm import chat, exact_dedup, jaccard_join, near_dedup, packing, private_data, quality, sharding, suffix_dedup, token_counts, word_table
+from taleloom.llm.blocks import opened, squeezed
 
 from .conftest import ODD
 
@@ -240,6 +243,40 @@ def test_repeats_match_brute_force(docs, shard_bytes, hot):
     assert suffix_dedup.remove_repeats(docs([])).count() == 0
 
 
+def test_a_bucket_of_runs_holds_little_beside_their_bytes():
+    rng = np.random.default_rng(4)
+    n = 20_000
+    data = rng.integers(97, 123, 64 * n, dtype=np.uint8).tobytes()
+    delta = np.diff(np.sort(rng.integers(0, 2**63, n, dtype=np.uint64)), prepend=np.uint64(0))
+    blocks = [
+        squeezed(rank=delta, doc=np.arange(n) + k, row=np.arange(n) + k, start=np.zeros(n, np.int64), size=np.full(n, 64, np.uint32), data=data)
+        for k in (0, 1)
+    ]
+    group = pa.table({"shard": pa.array([0, 1], pa.int32()), "local": [False, False], "block": pa.array(blocks, pa.binary())})
+    tracemalloc.start()
+    spans = suffix_dedup._repeats(group, 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 * 2 * n  # a run held as Python objects takes over 500 bytes
+    assert spans.column("shard").to_pylist() == [1]
+    found = opened(spans.column("block")[0].as_py())
+    assert sorted(found["row"].tolist()) == list(range(1, n + 1)) and set(found["end"].tolist()) == {64}
+
+
+def test_runs_of_texts_ranked_together_are_those_of_each_text(monkeypatch):
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(97, 100, k, dtype=np.uint8) for k in (0, 49, 50, 51, 3000, 70, 9000)]
+    which, rank, start, end = suffix_dedup.runs(texts, 50)
+    for i, data in enumerate(texts):
+        own = which == i
+        assert [w for a, b in zip(start[own], end[own], strict=True) for w in range(a, b - 49)] == list(range(max(0, len(data) - 49)))
+        _, *alone = suffix_dedup.runs([data], 50)
+        assert [x.tolist() for x in alone] == [x[own].tolist() for x in (rank, start, end)]
+    monkeypatch.setattr(suffix_dedup, "PART", 500)  # a long text is read in parts: runs may be cut there, no window is lost
+    _, _, start, end = suffix_dedup.runs(texts[-1:], 50)
+    assert [w for a, b in zip(start, end, strict=True) for w in range(a, b - 49)] == list(range(8951))
+
+
 def test_multikey_sort():
     rng = np.random.default_rng(1)
     words = rng.integers(0, 5, (6000, 4)).astype(np.uint64)
