@@ -183,3 +183,24 @@ def test_every_query_runs_in_spark(spark, sf_dir):
         assert sorted(cols) == sorted(df.columns)
         key = lambda row: str(tuple(None if v is None else (float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v) for v in row))
         assert sorted(map(key, df.select(*cols).collect())) == sorted(map(key, r.fetchall())), name
+
+
+def test_listeners_who_came_equally_far_are_listed_together(spark, tmp_path):
+    heard = [(i, i % 3, float(i * 37 % 100 + k)) for i in range(120) for k in (0, 2)] + [(None, 1, 50.0), (7, None, 50.0), (8, 2, None)]
+    said = [(s, 10 * s + e, e * 9.0) for s in range(3) for e in range(10)] + [(1, 10, 95.0), (1, None, 5.0), (None, 4, 5.0), (2, 29, None)]
+    positions = spark.createDataFrame(heard, "listener long, story_id long, position double").repartition(4)
+    spark.createDataFrame(said, "story_id long, entity_id long, time double").write.parquet(str(tmp_path / "mentions"))
+    mentions = spark.read.parquet(str(tmp_path / "mentions"))  # of known size, so small enough to keep the order of the listeners
+    rows = J.revealed(positions, mentions).withColumn("part", F.spark_partition_id()).collect()
+    reached, first = {}, {}
+    for who, story, at in heard:
+        if story is not None and at is not None:
+            reached[who, story] = max(at, reached.get((who, story), at))
+    for story, entity, at in said:
+        if story is not None and at is not None:
+            first[story, entity] = min(at, first.get((story, entity), at))
+    want = [(who, s, e) for (who, s), far in reached.items() for (t, e), at in first.items() if s == t and far >= at - 0.3]
+    assert sorted(map(repr, want)) == sorted(repr((r.listener, r.story_id, r.entity_id)) for r in rows)
+    for part in {r.part for r in rows}:
+        places = [(r.story_id, reached[r.listener, r.story_id]) for r in rows if r.part == part]
+        assert places == sorted(places)
