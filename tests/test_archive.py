@@ -133,3 +133,18 @@ def test_entities_are_never_broadcast(spark):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "strategy=merge" in plan, name
         assert {tuple(r) for r in df.collect()} == want, name
+
+
+def test_names_are_small_stored_tables(spark, monkeypatch):
+    """Tokens meet names by tables of known size, and only tokens that stand in a name are dealt for the last join."""
+    from taleloom.operators import marks as M
+
+    tables = []
+    store = M.stored
+    monkeypatch.setattr(M, "stored", lambda df: tables.append(df.columns) or store(df))
+    seg = spark.createDataFrame([(1, 0, 0.0, 1.0, "We met Anna Berg and Anna there."), (1, 1, 1.0, 2.0, "Berg alone.")], "recording_id long, idx int, start double, end double, text string")
+    sto = spark.createDataFrame([("a", 1, 1, 0, 1)], "archive_id string, recording_id long, story_id long, seg_start int, seg_end int")
+    ent = spark.createDataFrame([("a", 7, "person", "Anna Berg", None)], "archive_id string, entity_id long, kind string, name string, aliases array<string>")
+    got = M.mention_hits(sto, seg, ent).collect()
+    assert [(r.entity_id, r.seg, r.reason) for r in got] == [(7, 0, None)] or [(r.entity_id, r.seg) for r in got] == [(7, 0)]
+    assert tables.count(["token"]) == 2
